@@ -1,11 +1,12 @@
 """Queries of the training-data operators, and their DuckDB oracles where SQL can express them."""
 
 from weftgraph.llm.byte_bpe import op3_byte_bpe
+from weftgraph.llm.jaccard_join import op7_jaccard_join
 from weftgraph.llm.language_crf import op5_language_crf
 from weftgraph.llm.packing import op8_best_fit_packing
 from weftgraph.llm.quality_risk import op10_quality_rules
 from weftgraph.llm.secret_scan import op2_secret_scan
 from weftgraph.llm.token_counts import op9_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_byte_bpe, op5_language_crf, op8_best_fit_packing, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_byte_bpe, op5_language_crf, op7_jaccard_join, op8_best_fit_packing, op9_token_counts, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
