@@ -7,6 +7,8 @@ over classes is exact and has three steps.
    everything. Instead a class's anchors are its rarest shingles, so many that two classes within the threshold share one
    at least (any total order of shingles gives this; counts only make regions small). For each anchor the most central of
    its classes is the pivot; all classes of the anchor enter the pivot's region, boundary classes several regions.
+   Inside a region a bitmap of each set bounds distances from below: sets differ in as many shingles as their bitmaps in
+   bits, or more. Regions fall apart into what can still link; only those classes' sets are read.
 2. A region of up to `region` classes is joined in one task: classes are ordered by distance to the pivot, and by the
    triangle inequality only those whose distances to it differ by at most the threshold are compared.
 3. Larger regions are split again by pivots of their own: each class goes to its nearest pivot and to every pivot within
@@ -25,19 +27,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from weftgraph.llm.common import arrow_rows, skew_join, stored, table
 
-MEMO = 300_000
-#: Counters: 2 ** WIDTH of 4 bytes, moved in blocks of 2 ** BLOCK.
-WIDTH, BLOCK = 22, 16
+MEMO = 500_000
+#: Counters: 2 ** WIDTH, moved in blocks of 2 ** BLOCK; a task's counts are moved as bytes and the sums kept as 16 bits, both saturated.
+WIDTH, BLOCK = 24, 16
 
 
 @dataclass(frozen=True)
@@ -67,10 +68,14 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
-        out = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        out = self[word] = xxh3_64_intdigest(word)
         return out
 
 
+#: One for each Python worker.
+WORDS = Words()
+
+
 def mixed(h: np.ndarray, odd: int) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(odd)
@@ -79,13 +84,13 @@ def mixed(h: np.ndarray, odd: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str | None, k: int, words: Words) -> np.ndarray:
+def shingles(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a whole text. bytes.lower and bytes.split work on ASCII alone, as the contract has it."""
     own = text.encode().lower().split() if text else []
     n = len(own)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, own), np.uint64, n)
+    h = np.fromiter(map(WORDS.__getitem__, own), np.uint64, n)
     size = min(k, n)
     out = np.full(n - size + 1, size, np.uint64)
     for i in range(size):
@@ -103,24 +108,23 @@ def classes(docs: DataFrame, join: Join, text: str, key: str) -> DataFrame:
     k = join.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, counts, kind = Words(), set(), np.zeros(1 << WIDTH, np.uint32), None
+        seen, counts, kind = set(), np.zeros(1 << WIDTH, np.uint16), None
         for b in batches:
-            kind, rows, new = b.column(0).type, [], []
+            kind, rows = b.column(0).type, []
             for t in b.column(1).to_pylist():
-                h = shingles(t, k, words)
+                h = shingles(t, k)
                 f = fingerprint(h)
                 rows.append((len(h), *f))
                 if len(h) and f[0] not in seen:
                     seen.add(f[0])
-                    new.append(h)
-            if new:
-                counts += np.bincount((np.concatenate(new) >> np.uint64(64 - WIDTH)).astype(np.int64), minlength=1 << WIDTH).astype(np.uint32)
+                    at = (h >> np.uint64(64 - WIDTH)).astype(np.int64)
+                    counts[at] = np.minimum(counts[at], 0xFFFE) + np.uint16(1)
             columns = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 3)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], [key, "n", "f1", "f2", "block", "counts"])
         for block in range(1 << (WIDTH - BLOCK)) if kind is not None else ():
             part = counts[block << BLOCK : (block + 1) << BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], [key, "n", "f1", "f2", "block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([block], pa.int32()), pa.array([np.minimum(part, 255).astype(np.uint8).tobytes()], pa.binary())], [key, "n", "f1", "f2", "block", "counts"])
 
     fields = f"`{key}` {docs.schema[key].dataType.simpleString()}, n long, f1 long, f2 long, block int, counts binary"
     return docs.select(key, text).mapInArrow(run, fields)
@@ -129,44 +133,85 @@ def classes(docs: DataFrame, join: Join, text: str, key: str) -> DataFrame:
 def total_counts(parts: DataFrame) -> np.ndarray:
     """The sum of all tasks' counters, added in two rounds on the executors; its size is fixed."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                more = np.frombuffer(data, np.uint32)
-                sums[block] = sums[block] + more if block in sums else more
-        for block, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "counts"])
+    def adding(kind: type, most: int, to: type):
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    more = np.frombuffer(data, kind).astype(np.uint32)
+                    sums[block] = sums[block] + more if block in sums else more
+            for block, x in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.minimum(x, most).astype(to).tobytes()], pa.binary())], ["block", "counts"])
+
+        return add
 
     own = parts.where("block is not null").select("block", "counts")
-    some = own.repartition("block", F.pmod(F.xxhash64("counts"), F.lit(16))).mapInArrow(add, "block int, counts binary")
-    out = np.zeros(1 << WIDTH, np.uint32)
-    for r in some.repartition("block").mapInArrow(add, "block int, counts binary").collect():
-        out[r["block"] << BLOCK : (r["block"] + 1) << BLOCK] += np.frombuffer(r["counts"], np.uint32)
+    fields = "block int, counts binary"
+    some = own.repartition("block", F.pmod(F.xxhash64("counts"), F.lit(16))).mapInArrow(adding(np.uint8, 0xFFFFFFFF, np.uint32), fields)
+    out = np.zeros(1 << WIDTH, np.uint16)
+    for r in some.repartition("block").mapInArrow(adding(np.uint32, 0xFFFF, np.uint16), fields).toLocalIterator():
+        out[r["block"] << BLOCK : (r["block"] + 1) << BLOCK] = np.frombuffer(r["counts"], np.uint16)
     return out
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """Bits at the shingles' low bits: two bits and more a shingle, a power of two."""
+    size = 1 << max(8, (2 * len(h) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(h & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def grouped(df: DataFrame, key: str, run, fields: str) -> DataFrame:
+    """run(key, rows as a table) of each group, for groups of a bounded size: groups stream by in order, without a frame for each."""
+
+    def all_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        current = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from run(current, pa.Table.from_batches(held).combine_chunks())
+
+        for b in batches:
+            keys = b.column(key).to_pylist()
+            begin = 0
+            while begin < len(keys):
+                if keys[begin] != current:
+                    yield from done()
+                    held, current = [], keys[begin]
+                end = begin
+                while end < len(keys) and keys[end] == current:
+                    end += 1
+                held.append(b.slice(begin, end - begin))
+                begin = end
+        yield from done()
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(all_groups, fields)
+
+
 def anchored(docs: DataFrame, counts: np.ndarray, join: Join, text: str) -> DataFrame:
-    """(f1, central, anchors) of the distinct sets that a task meets: the rarest shingles, and how common the set's shingles are."""
+    """(f1, n, central, bits, anchors) of the distinct sets that a task meets: their size, how common their shingles are, their
+    bitmap and their rarest shingles."""
     shipped = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, many = Words(), set(), shipped.value
+        seen, many = set(), shipped.value
         for b in batches:
             rows, anchors = [], []
             for t in b.column(0).to_pylist():
-                h = shingles(t, join.words, words)
+                h = shingles(t, join.words)
                 if not len(h) or (f := fingerprint(h)[0]) in seen:
                     continue
                 seen.add(f)
                 c = many[(h >> np.uint64(64 - WIDTH)).astype(np.int64)]
-                rows.append((f, float(np.log(c).mean())))
+                rows.append((f, len(h), float(np.log(c).mean()), bitmap(h)))
                 anchors.append(h[np.lexsort((h, c))[: join.anchors(len(h))]].astype(np.int64))
             ends = np.cumsum([0, *map(len, anchors)])
-            columns = zip(*rows, strict=True) if rows else [(), ()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.float64()), strict=True)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *anchors])))], ["f1", "central", "anchors"])
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.binary()), strict=True)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *anchors])))], ["f1", "n", "central", "bits", "anchors"])
 
-    return docs.select(text).mapInArrow(run, "f1 long, central double, anchors array<long>")
+    return docs.select(text).mapInArrow(run, "f1 long, n long, central double, bits binary, anchors array<long>")
 
 
 def sets_of(docs: DataFrame, keys: DataFrame, join: Join, text: str, key: str) -> DataFrame:
@@ -175,9 +220,8 @@ def sets_of(docs: DataFrame, keys: DataFrame, join: Join, text: str, key: str) -
     chosen = docs.select(key, text).join(F.broadcast(own) if own.count() <= join.broadcast else own, F.col(key) == F.col("_key"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for b in batches:
-            own = [shingles(t, join.words, words) for t in b.column(1).to_pylist()]
+            own = [shingles(t, join.words) for t in b.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, own)])
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(h)[0] for h in own], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *own]).astype(np.int64)))], ["f1", "h"])
 
@@ -247,19 +291,66 @@ def region_links(ids: list[int], sets: list[np.ndarray], pivot: int, join: Join,
     return out
 
 
+def can_link(ids: list[int], sizes: list[int], bits: list[bytes], join: Join) -> dict[int, int]:
+    """id to a common id of those that bitmaps don't keep apart; ids that can link to none are left out."""
+    order = sorted(range(len(ids)), key=lambda i: sizes[i])
+    maps = [int.from_bytes(bits[i], "little") for i in order]
+    root = list(range(len(order)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    met = set()
+    for x, i in enumerate(order):
+        n, size, own = sizes[i], len(bits[i]), maps[x]
+        for y in range(x + 1, len(order)):
+            j = order[y]
+            if 100 * n < join.percent * sizes[j]:
+                break
+            other, wide = maps[y], len(bits[j])
+            while wide > size:
+                wide //= 2
+                other = other & ((1 << 8 * wide) - 1) | other >> 8 * wide
+            if (own ^ other).bit_count() * (100 + join.percent) <= (100 - join.percent) * (n + sizes[j]):
+                met |= {x, y}
+                root[find(x)] = find(y)
+    return {ids[order[x]]: ids[order[find(x)]] for x in met}
+
+
+def linkable(members: DataFrame, entries: DataFrame, join: Join) -> DataFrame:
+    """(region, pivot, f1) of the classes that can still link, in regions of those that can link to each other."""
+
+    def run(region: str, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = {f: (n, b) for f, n, b in zip(*(t.column(c).to_pylist() for c in ("f1", "n", "bits")), strict=True)}
+        if len(rows) > 1:
+            found = can_link(list(rows), [n for n, _ in rows.values()], [b for _, b in rows.values()], join)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{region}:{r}" for r in found.values()], pa.string()), pa.array(found.values(), pa.int64()), pa.array(found, pa.int64())], ["region", "pivot", "f1"])
+
+    return grouped(members.select("region", "f1").join(entries.select("f1", "n", "bits"), "f1"), "region", run, "region string, pivot long, f1 long")
+
+
 def joined_regions(members: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """(a, b) links of regions given as (region, pivot, f1) rows of at most join.region classes each."""
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.drop_duplicates("f1")
-        ids = df["f1"].tolist()
-        if len(ids) < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        own = [np.asarray(h, np.int64) for h in df["h"]]
-        pivot = ids.index(df["pivot"].iloc[0]) if df["pivot"].iloc[0] in ids else 0
-        return pd.DataFrame(region_links(ids, own, pivot, join), columns=["a", "b"]).astype("int64")
+    def run(region: str, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = t.column("f1").to_pylist()
+        each = dict(zip(ids, (np.asarray(t.column("h")[i].values) for i in range(len(ids))), strict=True))
+        if len(each) > 1:
+            ids, pivot = list(each), t.column("pivot")[0].as_py()
+            links = region_links(ids, list(each.values()), ids.index(pivot) if pivot in each else 0, join)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], ["a", "b"])
+
+    return grouped(members.join(sets, "f1").select("region", "pivot", "f1", "h"), "region", run, "a long, b long")
 
-    return members.join(sets, "f1").groupBy("region").applyInPandas(run, "a long, b long")
+
+def dealt(members: DataFrame, join: Join) -> tuple[DataFrame, DataFrame | None]:
+    """members in regions that fit, and the rest (None if there is none)."""
+    large = members.groupBy("region").count().where(F.col("count") > join.region).select("region")
+    if not large.limit(1).count():
+        return members, None
+    return members.join(large, "region", "left_anti"), members.join(large, "region", "left_semi")
 
 
 def split(members: DataFrame, sets: DataFrame, join: Join, level: int) -> DataFrame:
@@ -293,24 +384,25 @@ def class_links(docs: DataFrame, parts: DataFrame, join: Join, text: str, key: s
     each = entries.select("f1", F.explode("anchors").alias("anchor"))
     met = each.groupBy("anchor").agg(F.min("f1").alias("_a"), F.max("f1").alias("_b")).where("_a < _b").select("anchor")
     own = stored(each.join(met, "anchor", "left_semi"), "met").distinct()
-    central = entries.groupBy("f1").agg(F.max("central").alias("central"))
-    own = stored(own.join(central, "f1"), "members")
-    pivots = own.groupBy("anchor").agg(F.max_by("f1", F.struct("central", "f1")).alias("pivot"))
+    entries = entries.join(own.select("f1").distinct(), "f1", "left_semi").dropDuplicates(["f1"]).drop("anchors")
+    entries = stored(entries, "met-classes")
+    pivots = own.join(entries.select("f1", "central"), "f1").groupBy("anchor").agg(F.max_by("f1", F.struct("central", "f1")).alias("pivot"))
     members = stored(own.join(pivots, "anchor").select(F.col("pivot").cast("string").alias("region"), "pivot", "f1").distinct(), "regions")
+    fit, rest = dealt(members, join)
+    members = fit if rest is None else fit.unionByName(blocks(rest, join))
+    members = stored(linkable(members, entries, join), "linkable")
     keys = parts.where("block is null and n > 0").groupBy("f1").agg(F.min(key).alias(key)).join(members.select("f1").distinct(), "f1", "left_semi").select(key)
-    sets = stored(sets_of(docs, keys, join, text, key), "sets").dropDuplicates(["f1"])
+    sets = stored(sets_of(docs, keys, join, text, key), "sets")
     done = []
-    for level in range(join.levels + 1):
-        size = members.groupBy("region").count()
-        large = size.where(F.col("count") > join.region).select("region")
-        if not large.limit(1).count():
-            done.append(members)
+    for level in range(join.levels):
+        fit, members = dealt(members, join)
+        done.append(fit)
+        if members is None:
             break
-        done.append(members.join(large, "region", "left_anti"))
-        rest = members.join(large, "region", "left_semi")
-        members = stored(split(rest, sets, join, level), "split") if level < join.levels else stored(blocks(rest, join), "blocks")
-        if level == join.levels:
-            done.append(members)
+        members = stored(split(members, sets.dropDuplicates(["f1"]), join, level), "split")
+    else:
+        fit, members = dealt(members, join)
+        done += [fit] if members is None else [fit, blocks(members, join)]
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -355,5 +447,21 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), text: str = "text",
     return full.unionByName(rows.where("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id")))
 
 
+def one_of_each(docs: DataFrame, join: Join, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs, with the columns they have, without those whose component has a smaller key; of rows that repeat a key one stays.
+
+    Rows with a null key stay. What goes is usually little: its keys are broadcast if they are few enough, else shuffled.
+    """
+    found = stored(jaccard_components(docs, join, text, key).select(F.col(key).alias("_key"), "component_id"), "found")
+    gone = found.where("_key <> component_id").select("_key").distinct()
+    again = found.where("_key = component_id").groupBy("_key").count().where("count > 1").select("_key")
+    near = lambda keys: F.broadcast(keys) if keys.count() <= join.broadcast else keys
+    same = docs[key] == F.col("_key")
+    rest = docs.join(near(gone), same, "left_anti")
+    if not again.limit(1).count():
+        return rest
+    return rest.join(near(again), same, "left_anti").unionByName(docs.join(near(again), same, "left_semi").dropDuplicates([key]))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
