@@ -107,7 +107,7 @@ def balanced_shards(rows: DataFrame, links: DataFrame, total: int, plan: Shards
     state = propagated(stored(ids, "linked"), links, quota, plan)
     placed = rows.join(state, "id", "left").withColumn("_spread", F.xxhash64(group or "id"))
     placed = stored(placed, "placed")
-    settled = ranked(placed.where("shard is not null"), "shard", "_spread", total, "slot")
+    settled = ranked(placed.where("shard is not null"), "shard", "id", total, "slot")
     limit = F.element_at(F.array(*map(F.lit, quota)), F.col("shard") + 1)
     settled = stored(settled, "settled")
     held = {r["shard"]: r["count"] for r in settled.where(F.col("slot") < limit).groupBy("shard").count().collect()}
