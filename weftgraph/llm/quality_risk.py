@@ -110,10 +110,10 @@ def base_failed() -> Column:
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: Risk = Risk(), key: str = "doc_id") -> dict[str, dict[str, float]]:
     """Accepted cutoffs by stratum and rule. Sent to the driver: one row of counts a stratum, at most max_strata + 1 rows.
 
-    measured: features() with a column stratum that holds no nulls.
+    measured: features() with the key as _id and a column stratum that holds no nulls.
     """
-    good = labels.groupBy(F.col(key).alias("_id")).agg(F.min("quality").alias("_q")).where("_q = 1").select("_id")
-    held = measured.where(~base_failed()).join(good, F.col(key) == F.col("_id"), "left_semi")
+    good = labels.groupBy(F.col(key).alias("_good")).agg(F.min("quality").alias("_q")).where("_q = 1").select("_good")
+    held = measured.where(~base_failed()).join(good, F.col("_id") == F.col("_good"), "left_semi")
     tries = [(r, c, F.count_if(F.expr(r.measure) > c).alias(f"{r.name}:{n}")) for r in risk.rules for n, c in enumerate(r.cutoffs)]
     rows = held.groupBy(stratum).agg(F.count("*").alias("n"), *(x for *_, x in tries)).collect()
     level = risk.delta / max(1, len(rows) * len(risk.rules))
@@ -128,18 +128,30 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: Risk = R
     return found
 
 
-def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk(), key: str = "doc_id") -> DataFrame:
-    """key, the counts, base_failed and kept of every document."""
-    measured = stored(features(docs, keep=(key, stratum)), "quality")
-    top = [r[0] for r in measured.where(F.col(stratum).isNotNull()).groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(risk.max_strata).collect()]
-    named = measured.withColumn("_s", F.when(F.col(stratum).isin(top), F.concat(F.lit("="), F.col(stratum).cast("string"))).otherwise("other"))
-    found = cutoffs(named, labels, "_s", risk, key)
+def judged_rows(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk(), key: str = "doc_id", text: str = "text", rows: bool = False) -> DataFrame:
+    """_id, the counts, base_failed and kept of every document; with rows also _row, a struct of all its columns."""
+    keep = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if rows else []
+    named = docs.select(F.col(key).alias("_id"), F.col(stratum).alias("_stratum"), F.col(text).alias("_text"), *keep)
+    measured = stored(features(named, "_text", ("_id", "_stratum", *("_row" for _ in keep))), "quality")
+    top = [r[0] for r in measured.where("_stratum is not null").groupBy("_stratum").count().orderBy(F.desc("count"), "_stratum").limit(risk.max_strata).collect()]
+    dealt = measured.withColumn("_s", F.when(F.col("_stratum").isin(top), F.concat(F.lit("="), F.col("_stratum").cast("string"))).otherwise("other"))
+    found = cutoffs(dealt, labels, "_s", risk, key)
     rejected = F.lit(False)
     for rule in risk.rules:
         cuts = [F.lit(x) for s, c in sorted(found.items()) if rule.name in c for x in (s, c[rule.name])]
         if cuts:
             rejected = rejected | F.coalesce(F.expr(rule.measure) > F.element_at(F.create_map(*cuts), F.col("_s")), F.lit(False))
-    return named.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_s")
+    return dealt.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_s", "_stratum")
+
+
+def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, the counts, base_failed and kept of every document."""
+    return judged_rows(docs, labels, stratum, risk, key, text).withColumnRenamed("_id", key)
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with the columns they have."""
+    return judged_rows(docs, labels, stratum, risk, key, text, rows=True).where("kept").select("_row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 from weftgraph.llm.byte_bpe import op3_byte_bpe
 from weftgraph.llm.jaccard_join import op7_jaccard_join
 from weftgraph.llm.language_crf import op5_language_crf
+from weftgraph.llm.media import op4_media_sequences
 from weftgraph.llm.packing import op8_best_fit_packing
+from weftgraph.llm.page_diff import op6_page_diff
 from weftgraph.llm.quality_risk import op10_quality_rules
 from weftgraph.llm.secret_scan import op2_secret_scan
 from weftgraph.llm.sharding import op1_label_shards
 from weftgraph.llm.token_counts import op9_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_label_shards, op2_secret_scan, op3_byte_bpe, op5_language_crf, op7_jaccard_join, op8_best_fit_packing, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_label_shards, op2_secret_scan, op3_byte_bpe, op4_media_sequences, op5_language_crf, op6_page_diff, op7_jaccard_join, op8_best_fit_packing, op9_token_counts, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
