@@ -30,8 +30,8 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
 def at_shares(df: DataFrame, value: str, **shares: float) -> DataFrame:
     """One row: for each name the element at zero-based place floor(rows * share) of the sorted values. Runs on the
     histogram: rows with equal values are counted before anything is ordered."""
-    counts = histogram(df, value)
-    running = counts.withColumn("_to", F.sum("n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("n").over(W.partitionBy()))
+    counts = df.groupBy(value).agg(F.count("*").alias("_rows"))
+    running = counts.withColumn("_to", F.sum("_rows").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_rows").over(W.partitionBy()))
     pick = lambda q: F.min(F.when(F.col("_to") > F.floor(F.col("_all") * F.lit(q)), F.col(value)))
     return running.agg(*(pick(q).alias(k) for k, q in shares.items()))
 
