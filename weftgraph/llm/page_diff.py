@@ -15,10 +15,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -167,6 +170,19 @@ def main_text(lines: list[tuple[str, str]], partner: list[int] | None) -> str:
     return "\n".join(t for i, (t, z) in enumerate(lines) if z == "main" or z == "plain" and not marked and i not in shared)
 
 
+#: A page's path and the hashes of its lines outside an article.
+Neighbour = tuple[str, list[int]]
+
+
+class Page(NamedTuple):
+    key: object
+    url: str | None
+    host: str
+    path: str
+    lines: list[tuple[str, str]]
+    at: int
+
+
 def line_hash(text: str) -> int:
     return xxh3_64_intdigest(text) - (1 << 63)
 
@@ -180,65 +196,107 @@ def shared_path(a: str, b: str) -> int:
     return n
 
 
-def ordered_pages(pages: DataFrame, source: str, url: str, key: str) -> DataFrame:
-    """key, url, host, path, lines, zones, hashes and place: the page's number in the order of all pages by host and path.
+def chosen(lines: list[tuple[str, str]], path: str, before: Neighbour | None, after: Neighbour | None) -> str:
+    """The text left after differencing with the nearer neighbour; the one before if both are as near."""
+    near = after if before is None or after is not None and shared_path(path, after[0]) > shared_path(path, before[0]) else before
+    return main_text(lines, near and near[1])
+
+
+def packed_lines(lines: list[tuple[str, str]]) -> bytes:
+    return zstandard.compress("\n".join(z[0] + t for t, z in lines).encode())
+
+
+ZONES = {"m": "main", "p": "plain", "t": "template"}
+
+
+def unpacked_lines(data: bytes) -> list[tuple[str, str]]:
+    """Lines hold no line break, as white space in a block is one space."""
+    text = zstandard.decompress(data).decode()
+    return [(x[1:], ZONES[x[0]]) for x in text.split("\n")] if text else []
+
+
+def outside(lines: list[tuple[str, str]]) -> list[int]:
+    return [line_hash(t) for t, z in lines if z != "main"]
 
-    Sorting is by range, so a hot host spreads over tasks. Tasks number their rows; the tasks' counts, one number each, give
-    where each begins.
+
+def extracted(pages: DataFrame, source: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
+    """key, url, text and n_chars of every page.
+
+    Pages are reduced to their lines and sorted by range of host and path, so that a hot host spreads over tasks. A task sees its
+    pages in order, and so both neighbours of all but its first and last; these, two a task at most, are settled afterwards
+    with those of the tasks beside it. So the result doesn't hang on where ranges end.
     """
+    arrow_rows(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_replace(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), F.lit(""))
     keyed = pages.select(F.col(key), F.col(url), F.col(source).alias("_html"), host.alias("_host"), path.alias("_path"))
     kinds = {f.name: f.dataType.simpleString() for f in keyed.schema}
-    ordered = keyed.repartitionByRange("_host", "_path", key).sortWithinPartitions("_host", "_path", key)
+    own = f"`{key}` {kinds[key]}, `{url}` {kinds[url]}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_rows
-            lines = [page_lines(x) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), b.column(1), b.column(3), b.column(4),
-                    pa.array([[t for t, _ in x] for x in lines], pa.list_(pa.string())),
-                    pa.array([[z for _, z in x] for x in lines], pa.list_(pa.string())),
-                    pa.array([[line_hash(t) for t, z in x if z != "main"] for x in lines], pa.list_(pa.int64())),
-                    pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()),
-                ],
-                [key, url, "_host", "_path", "_lines", "_zones", "_hashes", "_part", "_at"],
-            )
-            at += n
-
-    fields = f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, _host string, _path string, _lines array<string>, _zones array<string>, _hashes array<long>, _part int, _at long"
-    parsed = stored(ordered.mapInArrow(run, fields), "pages")
-    begins, total = {}, 0
-    for r in parsed.groupBy("_part").count().orderBy("_part").collect():
-        begins[r["_part"]], total = total, total + r["count"]
-    begin = F.element_at(F.create_map(*(F.lit(x) for p, n in begins.items() for x in (p, n))), F.col("_part")) if begins else F.lit(0)
-    return parsed.withColumn("_place", F.col("_at") + begin).drop("_part", "_at")
+            blobs = pa.array([packed_lines(page_lines(x)) for x in b.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), blobs], [key, url, "_host", "_path", "_lines"])
 
+    ordered = keyed.mapInArrow(reduce, f"{own}, _host string, _path string, _lines binary").repartitionByRange("_host", "_path", key).sortWithinPartitions("_host", "_path", key)
+    fields = f"{own}, text string, _part int, _at long, _host string, _path string, _lines binary, _before struct<path:string,hashes:array<long>>, _after struct<path:string,hashes:array<long>>"
+    side = pa.struct([("path", pa.string()), ("hashes", pa.list_(pa.int64()))])
 
-def extracted(pages: DataFrame, source: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
-    """key, url, text and n_chars of every page."""
-    arrow_rows(pages.sparkSession)
-    rows = ordered_pages(pages, source, url, key)
-    side = lambda name, step: rows.select((F.col("_place") + step).alias("_place"), F.struct(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_hashes").alias("hashes")).alias(name))
-    both = rows.join(side("_before", 1), "_place", "left").join(side("_after", -1), "_place", "left")
-    # the nearer neighbour of the same host; the one before if both are as near
-    before = F.when(F.col("_before.host") == F.col("_host"), F.col("_before"))
-    after = F.when(F.col("_after.host") == F.col("_host"), F.col("_after"))
-    chosen = both.select(key, url, "_path", "_lines", "_zones", before.alias("_before"), after.alias("_after"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        names = [key, url, "text", "_part", "_at", "_host", "_path", "_lines", "_before", "_after"]
+        at, previous, current, types = 0, None, None, None
+
+        def near(other: Page | None, host: str) -> Neighbour | None:
+            return (other.path, outside(other.lines)) if other is not None and other.host == host else None
+
+        def settled(p: Page, after: Page | None, last: bool) -> tuple:
+            """A row; of the first and last page of a task, what is needed to settle it later."""
+            x, y = near(previous, p.host), near(after, p.host)
+            if p.at and not last:
+                return (p.key, p.url, chosen(p.lines, p.path, x, y), part, p.at, None, None, None, None, None)
+            as_struct = lambda n: n and {"path": n[0], "hashes": n[1]}
+            return (p.key, p.url, None, part, p.at, p.host, p.path, packed_lines(p.lines), as_struct(x), as_struct(y))
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (*types, pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary(), side, side), strict=True)], names)
+
+        for b in batches:
+            types, rows = (b.column(0).type, b.column(1).type), []
+            for k, u, h, q, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                page = Page(k, u, h, q, unpacked_lines(data), at)
+                at += 1
+                if current is not None:
+                    rows.append(settled(current, page, False))
+                    previous = current
+                current = page
+            if rows:
+                yield batch(rows)
+        if current is not None:
+            yield batch([settled(current, None, True)])
+
+    found = stored(ordered.mapInArrow(stream, fields), "pages")
+    # two rows a task at most: the tasks' number bounds this window
+    w = W.orderBy("_part", "_at")
+    edge = lambda f: f(F.struct("_part", "_at", "_host", "_path", "_lines")).over(w)
+    edges = found.where("_lines is not null").withColumns({"_lag": edge(F.lag), "_lead": edge(F.lead)})
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for path, lines, zones, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True):
-                near = y if x is None or y is not None and shared_path(path, y["path"]) > shared_path(path, x["path"]) else x
-                texts.append(main_text(list(zip(lines, zones, strict=True)), near and near["hashes"]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [key, url, "text", "n_chars"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in chosen.schema}
-    return chosen.mapInArrow(run, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long")
+            for r in b.to_pylist():
+                x, y = (n and (n["path"], n["hashes"]) for n in (r["_before"], r["_after"]))
+                for other in (r["_lag"], r["_lead"]):
+                    # a neighbour in another task; in its own task a page knows its neighbours
+                    if other and other["_part"] != r["_part"] and other["_host"] == r["_host"]:
+                        n = (other["_path"], outside(unpacked_lines(other["_lines"])))
+                        x, y = (n, y) if other is r["_lag"] else (x, n)
+                texts.append(chosen(unpacked_lines(r["_lines"]), r["_path"], x, y))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], [key, url, "text"])
+
+    late = edges.mapInArrow(settle, f"{own}, text string")
+    return found.where("_lines is null").select(key, url, "text").unionByName(late).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
