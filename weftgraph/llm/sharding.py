@@ -39,6 +39,11 @@ def unit(*columns: Column | str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / float(1 << 30)
 
 
+def spare(n: float) -> float:
+    """Two standard deviations of n accepted by chance, a quarter of n at most."""
+    return min(2 * n**0.5, n / 4)
+
+
 def allowed(asks: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], float]:
     """The share of each flow (from, to) that may move: inflow stays within room and accepted outflow."""
     flow = {k: float(n) for k, n in asks.items()}
@@ -54,7 +59,7 @@ def allowed(asks: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int
             if b in over:
                 flow[a, b] *= over[b]
     # documents are accepted by chance: a cut flow leaves two standard deviations free, which the next round can use
-    return {k: flow[k] / n if flow[k] > n - 0.5 else max(0.0, flow[k] - 2 * flow[k] ** 0.5) / n for k, n in asks.items()}
+    return {k: flow[k] / n if flow[k] > n - 0.5 else (flow[k] - spare(flow[k])) / n for k, n in asks.items()}
 
 
 def votes(state: DataFrame, links: DataFrame, number: int) -> DataFrame:
@@ -79,7 +84,10 @@ def propagated(ids: DataFrame, links: DataFrame, quota: list[int], plan: Shards)
         heard = skew_join(links, score, "link", rows, "inner").groupBy("id").agg(F.collect_list("score").alias("_each"), F.min("link").alias("_link"))
         total = F.aggregate("_each", F.array_repeat(F.lit(0.0), number), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
         # a full shard attracts nobody: others look for the best one with room, and leave a full one for as many votes
-        open_ = F.array(*(F.lit(1.0 if r > 0 else 0.0) for r in room))
+        # large links pass by shards that are nearly full, or they would fill the rest of one by ever smaller flows
+        any_room, much_room = (F.array(*(F.lit(1.0 if r > least(q) else 0.0) for r, q in zip(room, quota, strict=True))) for least in (lambda q: 0, spare))
+        members = F.aggregate("_score", F.lit(0.0), lambda a, x: a + x)
+        open_ = F.when(members * 4 < max(quota), any_room).otherwise(much_room)
         scored = heard.select("id", "_link", total.alias("_score")).join(state, "id")
         reach = F.zip_with("_score", open_, lambda x, o: x * o)
         asks = scored.select("id", "_link", "shard", "_score", reach.alias("_reach")).select(
@@ -105,9 +113,16 @@ def balanced_shards(rows: DataFrame, links: DataFrame, total: int, plan: Shards
     quota = quotas(total, plan.number)
     ids = links.select("id").distinct()
     state = propagated(stored(ids, "linked"), links, quota, plan)
-    placed = rows.join(state, "id", "left").withColumn("_spread", F.xxhash64(group or "id"))
+    # members of large links come last in a shard, so that what is beyond its quota is theirs; such links are a bounded number
+    large = links.groupBy("link").count().where(F.col("count") * 8 > max(quota)).select("link")
+    large = links.join(F.broadcast(large), "link", "left_semi").select("id").distinct().withColumn("_large", F.lit(1))
+    placed = rows.join(state, "id", "left").join(large, "id", "left").withColumn("_spread", F.xxhash64(group or "id"))
     placed = stored(placed, "placed")
-    settled = ranked(placed.where("shard is not null"), "shard", "id", total, "slot")
+    first = {r["shard"]: r["count"] for r in placed.where("shard is not null and _large is null").groupBy("shard").count().collect()}
+    begin = F.element_at(F.array(*(F.lit(first.get(s, 0)) for s in range(plan.number))), F.col("shard") + 1)
+    small = ranked(placed.where("shard is not null and _large is null"), "shard", "id", total, "slot")
+    settled = small.unionByName(ranked(placed.where("shard is not null and _large = 1"), "shard", "id", total, "slot").withColumn("slot", F.col("slot") + begin)).drop("_large")
+    placed = placed.drop("_large")
     limit = F.element_at(F.array(*map(F.lit, quota)), F.col("shard") + 1)
     settled = stored(settled, "settled")
     held = {r["shard"]: r["count"] for r in settled.where(F.col("slot") < limit).groupBy("shard").count().collect()}
@@ -116,8 +131,8 @@ def balanced_shards(rows: DataFrame, links: DataFrame, total: int, plan: Shards
     # rows over a quota come first, links together, then those without a link
     over = stored(settled.where(F.col("slot") >= limit).drop("slot", "shard").withColumn("_all", F.lit(0)), "over")
     loose = placed.where("shard is null").drop("shard").withColumn("_all", F.lit(0))
-    first = over.count()
-    pool = ranked(over, "_all", "_spread", first, "_k").unionByName(ranked(loose, "_all", "id", total, "_k").withColumn("_k", F.col("_k") + first))
+    beyond = over.count()
+    pool = ranked(over, "_all", "_spread", beyond, "_k").unionByName(ranked(loose, "_all", "id", total, "_k").withColumn("_k", F.col("_k") + beyond))
     # the last shard that begins at or before k and has room
     shard = F.size(F.filter(F.array(*map(F.lit, (b for b, f in zip(begins, free, strict=True) if f))), lambda b: b <= F.col("_k")))
     with_room = [s for s, f in enumerate(free) if f] or [0]
