@@ -13,6 +13,7 @@ count in the holdout; a document with several labels is good if all are. Empty t
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,7 +101,9 @@ def features(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     ordered = windows.select(*keep, *counts, F.when(F.size(F.array_distinct("_h")) < F.size("_h"), placed).alias("_o"))
     again = F.filter("_o", lambda x, i: (x["h"] == F.get("_o", i - 1)["h"]) | (x["h"] == F.get("_o", i + 1)["h"]))
     covered = F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
-    return ordered.select(*keep, *counts, F.when(F.col("_o").isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"))
+    repeated = F.when(F.col("_o").isNull(), 0).otherwise(covered).cast("long")
+    # a generated row: filters on the counts can't be pushed below it, which would compute the arrays again for each mention
+    return ordered.select(*keep, F.inline(F.array(F.struct(*counts, repeated.alias("n_repeat_words")))))
 
 
 def base_failed() -> Column:
@@ -128,30 +131,36 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: Risk = R
     return found
 
 
-def judged_rows(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk(), key: str = "doc_id", text: str = "text", rows: bool = False) -> DataFrame:
-    """_id, the counts, base_failed and kept of every document; with rows also _row, a struct of all its columns."""
-    keep = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if rows else []
-    named = docs.select(F.col(key).alias("_id"), F.col(stratum).alias("_stratum"), F.col(text).alias("_text"), *keep)
-    measured = stored(features(named, "_text", ("_id", "_stratum", *("_row" for _ in keep))), "quality")
+def judging(measured: DataFrame, labels: DataFrame, risk: Risk, key: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds base_failed and kept to features(); learned from stored features with _id and _stratum."""
     top = [r[0] for r in measured.where("_stratum is not null").groupBy("_stratum").count().orderBy(F.desc("count"), "_stratum").limit(risk.max_strata).collect()]
-    dealt = measured.withColumn("_s", F.when(F.col("_stratum").isin(top), F.concat(F.lit("="), F.col("_stratum").cast("string"))).otherwise("other"))
-    found = cutoffs(dealt, labels, "_s", risk, key)
+    name = F.when(F.col("_stratum").isin(top), F.concat(F.lit("="), F.col("_stratum").cast("string"))).otherwise("other")
+    found = cutoffs(measured.withColumn("_s", name), labels, "_s", risk, key)
     rejected = F.lit(False)
     for rule in risk.rules:
         cuts = [F.lit(x) for s, c in sorted(found.items()) if rule.name in c for x in (s, c[rule.name])]
         if cuts:
-            rejected = rejected | F.coalesce(F.expr(rule.measure) > F.element_at(F.create_map(*cuts), F.col("_s")), F.lit(False))
-    return dealt.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_s", "_stratum")
+            rejected = rejected | F.coalesce(F.expr(rule.measure) > F.element_at(F.create_map(*cuts), name), F.lit(False))
+    return lambda df: df.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
+
+
+def measured_rows(docs: DataFrame, stratum: str, key: str, text: str, rows: bool = False) -> DataFrame:
+    """features() with _id and _stratum; with rows also _row, a struct of all columns, which no name can clash with."""
+    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if rows else []
+    named = docs.select(F.col(key).alias("_id"), F.col(stratum).alias("_stratum"), F.col(text).alias("_text"), *whole)
+    return features(named, "_text", ("_id", "_stratum", *("_row" for _ in whole)))
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, the counts, base_failed and kept of every document."""
-    return judged_rows(docs, labels, stratum, risk, key, text).withColumnRenamed("_id", key)
+    measured = stored(measured_rows(docs, stratum, key, text), "quality")
+    return judging(measured, labels, risk, key)(measured).withColumnRenamed("_id", key).drop("_stratum")
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with the columns they have."""
-    return judged_rows(docs, labels, stratum, risk, key, text, rows=True).where("kept").select("_row.*")
+    """The rows of docs that are kept, with the columns they have. Texts are measured twice rather than stored or shuffled."""
+    judge = judging(stored(measured_rows(docs, stratum, key, text), "quality"), labels, risk, key)
+    return judge(measured_rows(docs, stratum, key, text, rows=True)).where("kept").select("_row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
