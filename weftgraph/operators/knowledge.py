@@ -20,7 +20,7 @@ def parsed_points(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = F.col("_r").isNull() | (F.col("_r.knowledge_points").isNotNull() & F.col("_p").isNull()) | ~strip(F.col("value")).startswith("{")
     keys = ["dataset", "file", "line", "doc_id"]
     named = read.where(~bad & F.col("_p").isNotNull()).withColumn("doc_id", F.coalesce("_r.doc_id", F.concat(F.lit("unknown_"), F.col("line").cast("string"))))
-    points = last_value(named, "_p", keys).withColumn("point", strip(F.col("point"))).withColumns({"name": name_of(F.col("point")), "description": description_of(F.col("point"))})
+    points = last_value(named, "_p", keys).withColumns({"name": name_of(F.col("point")), "description": description_of(F.col("point")), "point": strip(F.col("point"))})
     return points.where("name <> ''").select(*keys, "pos", "point", "name", "description"), read.where(bad).select("dataset", "file", "line", "value")
 
 
