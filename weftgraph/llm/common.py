@@ -1,13 +1,14 @@
-"""Helpers shared by the training-data operators: shared-folder tables, skew-safe joins, gapless ranks."""
+"""Helpers shared by the training-data operators: skew-safe joins and gapless ranks; stored tables come from weftgraph.storage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from weftgraph.storage import stored
+
+__all__ = ["arrow_rows", "ranked", "skew_join", "stored", "table"]
 
 #: Rows in one Arrow batch: bounds a Python worker's memory when texts are long.
 ARROW_ROWS = 500
@@ -27,26 +28,6 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (local tests) a temporary one is set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not held.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: cuts lineage, survives lost executors, computes once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def skew_join(left: DataFrame, right: DataFrame, key: str, rows: int | None = None, how: str = "left") -> DataFrame:
     """Join left to right, which has one row a key, though one key may hold a third of left.
 
@@ -72,8 +53,6 @@ def ranked(df: DataFrame, key: str, spread: str, rows: int, out: str = "rank", p
     """
     buckets = max(1, -(-rows // per_task))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int"))
-    from pyspark.sql import Window as W
-
     starts = (
         dealt.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
         .withColumn("_start", F.sum("_n").over(W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)))
@@ -82,7 +61,3 @@ def ranked(df: DataFrame, key: str, spread: str, rows: int, out: str = "rank", p
     inside = dealt.withColumn("_row", F.row_number().over(W.partitionBy(key, "_bucket").orderBy(spread)) - 1)
     both = inside.join(starts, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_b")))
     return both.withColumn(out, (F.col("_row") + F.col("_start")).cast("long")).drop("_bucket", "_key", "_b", "_start", "_row")
-
-
-def long_fields(*names: str) -> list[T.StructField]:
-    return [T.StructField(n, T.LongType()) for n in names]

@@ -16,7 +16,7 @@ over classes is exact and has three steps.
 
 Only links that join two parts of a region are kept; components come from large-star and small-star steps.
 
-Shingle counts use a fixed-width table of counters, an upper bound of the true count. Classes are told apart by a 64-bit
+Shingle counts use a fixed-width table of counters: an estimate, which only decides how large regions get. Classes are told apart by a 64-bit
 fingerprint (128 bits are stored): among n classes two are taken for one with a chance below n^2 / 2^65.
 
 Null and empty texts, and texts without a word, have an empty set and no links: their component is themselves. Rows with a
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from weftgraph.llm.common import arrow_rows, skew_join, stored, table
+from weftgraph.operators.graph_iter import connected_components
 
 MEMO = 500_000
 #: Counters: 2 ** WIDTH, moved in blocks of 2 ** BLOCK; a task's counts are moved as bytes and the sums kept as 16 bits, both saturated.
@@ -409,33 +410,11 @@ def class_links(docs: DataFrame, parts: DataFrame, join: Join, text: str, key: s
     return stored(joined_regions(out, sets, join), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id reachable by links (a, b), for all ids in them, by large-star and small-star steps."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    size = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = size(edges)
-    while True:
-        # large star: each id points its larger neighbours to the smallest id around it
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: each id points its smaller neighbours and itself to the smallest of them
-        edges = stored(edges, "large")
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        smaller = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = stored(smaller.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        now = size(edges)
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
-
-
 def jaccard_components(docs: DataFrame, join: Join = Join(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles and component_id, the smallest key reachable by links, of every document."""
     arrow_rows(docs.sparkSession)
     parts = stored(classes(docs, join, text, key), "classes")
-    labels = stored(components(class_links(docs, parts, join, text, key)), "labels")
+    labels = stored(connected_components(class_links(docs, parts, join, text, key)), "labels")
     rows = parts.where("block is null").select(key, "n", "f1")
     own = rows.where("n > 0").groupBy("f1").agg(F.min(key).alias("_min"))
     named = own.join(labels, F.col("f1") == F.col("id"), "left").select("f1", "_min", F.coalesce("label", "f1").alias("label"))
