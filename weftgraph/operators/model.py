@@ -66,7 +66,7 @@ class StubClient:
             names = json.loads(body)
             rows = [{"from": a, "to": b, "score": 1 + blake2b(f"{a}\x00{b}".encode(), digest_size=2).digest()[0] % 5, "reason": "order"} for a, b in zip(names, names[1:], strict=False)]
             return f"Here it is: {json.dumps(rows)}"
-        words = sorted(dict.fromkeys(w for w in body.split() if w.isalpha()), key=lambda w: (-len(w), w))[:4]
+        words = sorted(dict.fromkeys(w for w in body.split() if w.isalpha()), key=lambda w: (-len(w), w))[:8]
         return "```json\n" + json.dumps({str(i + 1): f"{w} - the concept of {w}" for i, w in enumerate(words)}) + "\n```"
 
 
