@@ -14,9 +14,11 @@ def initial(groups: DataFrame, group: str, name: str) -> DataFrame:
     A name m times in a group meets another n times m * n times, and itself m * (m - 1) / 2 times; so rows are counted by
     (group, name) before the pairs are made.
     """
-    counts = groups.where(F.col(group).isNotNull() & F.col(name).isNotNull()).groupBy(group, name).agg(F.count("*").alias("n"))
-    a = counts.select(F.col(group).alias("g"), F.col(name).alias("u"), F.col("n").alias("nu"))
-    b = counts.select(F.col(group).alias("g"), F.col(name).alias("v"), F.col("n").alias("nv"))
+    rows = groups.where(F.col(group).isNotNull() & F.col(name).isNotNull()).select(F.col(group).alias("g"), F.col(name).alias("x"))
+    # one exchange by group serves the counts and both sides of the join
+    counts = rows.repartition("g").groupBy("g", "x").agg(F.count("*").alias("n"))
+    a = counts.select("g", F.col("x").alias("u"), F.col("n").alias("nu"))
+    b = counts.select("g", F.col("x").alias("v"), F.col("n").alias("nv"))
     pairs = a.join(b, "g").where("u < v").select("u", "v", (F.col("nu") * F.col("nv")).alias("w"))
     selves = a.where("nu > 1").select("u", F.col("u").alias("v"), F.expr("nu * (nu - 1) div 2").alias("w"))
     return pairs.unionByName(selves).groupBy("u", "v").agg(F.sum("w").cast("long").alias("w"))
