@@ -115,6 +115,13 @@ def test_components_strong_components_and_hops(spark):
     assert {(r["node"], r["dist"]) for r in graph_iter.hops(chain, spark.createDataFrame([(0,)], "id long"), 3).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3)}
 
 
+def test_distances_of_a_connected_graph(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "u long, v long")
+    got = graph_iter.distance_profile(edges, graph.nodes(edges)).first()
+    assert (got["nodes"], got["components"], got["diameter"], got["radius"], got["mean_distance"]) == (5, 1, 4, 2, 2.0)
+    assert graph_iter.distance_profile(edges, graph.nodes(edges), below=5).first()["diameter"] is None
+
+
 def test_cosine_blocks_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 5))
@@ -290,6 +297,13 @@ def test_text_forms_round_trip(spark, tmp_path):
     assert readers.groups_of_json(spark.createDataFrame([('[["a","b"],["c"]]',)], "value string")).count() == 3
     assert {tuple(r) for r in readers.json_map(spark.createDataFrame([('{"a":"1","a":"2"}',)], "value string")).collect()} == {("a", "2")}
     assert {r["dataset"] for r in readers.datasets(spark, f"{p}/*.jsonl", [".jsonl"]).collect()} == {"bad"}
+    record = spark.createDataFrame([(0, "A", [0, 2], ["A", "C"])], "main_index long, main_name string, indices array<long>, members array<string>")
+    writers.clusters(record, f"{p}/clusters")
+    assert [tuple(r) for r in readers.cluster_lines(spark.read.text(f"{p}/clusters")).collect()] == [("A", 0, [0, 2], ["A", "C"])]
+    assert readers.file_counts(spark, f"{p}/bad.jsonl").first()[1:] == (4, 3)
+    assert readers.explore(pairs, 1)["rows"] == 2
+    groups.write.parquet(f"{p}/groups")
+    assert readers.saved_groups(spark, f"{p}/groups").count() == readers.saved_groups(spark, f"{p}/blocks", "text").count() == 3
     with pytest.raises(FileNotFoundError, match="gone"):
         readers.require(spark, p, f"{p}/gone")
     assert "pairs" in writers.report("R", {"pairs": pairs}) and json.loads(writers.report_json({"pairs": pairs}))["pairs"][0]["u"] == "a"

@@ -58,3 +58,14 @@ def ordered_pairs(df: DataFrame, group: str, pos: str, name: str) -> DataFrame:
     a = df.select(F.col(group).alias("g"), F.col(pos).alias("_p"), F.col(name).alias("first"))
     b = df.select(F.col(group).alias("g"), F.col(pos).alias("_q"), F.col(name).alias("second"))
     return a.join(b, "g").where("_p < _q").select("g", "first", "second")
+
+
+def mapping_statistics(mapping: DataFrame) -> DataFrame:
+    """One row: names, representatives, names that moved, and the reduction in percent."""
+    one = mapping.agg(F.count("*").alias("names"), F.countDistinct("representative").alias("representatives"), F.count_if(F.col("name") != F.col("representative")).alias("moved"))
+    return one.withColumn("reduction_percent", F.round(F.when(F.col("names") > 0, 100.0 * (F.col("names") - F.col("representatives")) / F.col("names")), 6))
+
+
+def mapping_sizes(mapping: DataFrame) -> DataFrame:
+    """(size, n): how many representatives stand for so many names."""
+    return mapping.groupBy("representative").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))

@@ -115,3 +115,13 @@ def overlaps(paths: DataFrame) -> DataFrame:
     x, y = paths.select(F.col("path").alias("a"), "node"), paths.select(F.col("path").alias("b"), "node")
     both = x.join(y, "node").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
     return both.join(sizes.select(F.col("path").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("path").alias("b"), F.col("n").alias("nb")), "b")
+
+
+def step_weights(paths: DataFrame) -> DataFrame:
+    """One row over the step weights of path_weights(), steps without an edge left out: count, mean, population deviation, least, greatest."""
+    return statistics(paths.select(F.explode("weights").alias("w")).where("w <> 0"), "w").drop("median")
+
+
+def step_weight_histogram(paths: DataFrame) -> DataFrame:
+    """(w, n): step weights at two decimals, halves to even."""
+    return paths.select(F.explode("weights").alias("w")).where("w <> 0").groupBy(F.bround("w", 2).alias("w")).agg(F.count("*").alias("n"))

@@ -103,3 +103,22 @@ def spread(state: DataFrame, arcs: DataFrame) -> DataFrame:
         if not new.where("_less").limit(1).count():
             return new.select("id", "c")
         state = new.select("id", "c")
+
+
+def component_sizes(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(label, n) of the components of all ids, those without links included."""
+    return labelled(ids, links).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def distance_profile(edges: DataFrame, ids: DataFrame, below: int = 5000) -> DataFrame:
+    """One row: nodes, components, largest component, and of a connected graph diameter, radius and mean distance; null when it
+    isn't connected, or has `below` nodes or more, as all distances are quadratic in the nodes. edges: (u, v)."""
+    sizes = stored(component_sizes(ids, edges.select(F.col("u").alias("a"), F.col("v").alias("b"))), "sizes")
+    one = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("nodes"), F.count("*").alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+    nodes, parts, _ = one.first()
+    empty = F.lit(None)
+    if parts != 1 or nodes >= below:
+        return one.withColumns({"diameter": empty.cast("long"), "radius": empty.cast("long"), "mean_distance": empty.cast("double")})
+    ways = edges.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(edges.select(F.col("v").alias("src"), F.col("u").alias("dst")))
+    far = eccentricity(ways, ids).agg(F.max("eccentricity").alias("diameter"), F.min("eccentricity").alias("radius"), F.round(F.sum("total") / (F.count("*") * (F.count("*") - 1)), 6).alias("mean_distance"))
+    return one.crossJoin(far)

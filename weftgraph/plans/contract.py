@@ -587,6 +587,44 @@ def strong_components(spark, d):
     return graph_iter.strong_components(arcs, arcs.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
 
 
+@query(f"WITH RECURSIVE {DIRECTED}, m AS (SELECT x.src AS id, min(x.node) AS label FROM r x JOIN r y ON x.src = y.node AND x.node = y.src GROUP BY x.src), c AS (SELECT (SELECT count(*) FROM ids) AS nodes, (SELECT count(*) FROM arc) AS edges) SELECT nodes, edges, round(edges / (nodes * (nodes - 1)), 9) AS density, (SELECT count(*) FROM embeddings) AS pool, round(edges / nodes, 6) AS mean_in, round(edges / nodes, 6) AS mean_out, (SELECT count(DISTINCT cluster) FROM (SELECT w.src, min(w.node) AS cluster FROM wk w GROUP BY w.src)) AS weak, (SELECT count(DISTINCT label) FROM m) AS strong FROM c".replace(", m AS", ", wk(src, node) AS (SELECT id, id FROM ids UNION SELECT k.src, w.dst FROM wk k JOIN ways w ON k.node = w.src), m AS"))
+def dep_stats(spark, d):
+    e = near(spark, d)
+    arcs = e.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(e.where("sim > 0.37").select(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return deps.dependency_statistics(arcs, t(spark, d, "embeddings").select(F.col("vec_id").alias("name")))
+
+
+@query("WITH m AS (SELECT DISTINCT l_partkey AS name, l_partkey - l_partkey % 5 AS representative FROM lineitem) SELECT count(*) AS names, count(DISTINCT representative) AS representatives, count(*) FILTER (name <> representative) AS moved, round(100.0 * (count(*) - count(DISTINCT representative)) / count(*), 6) AS reduction_percent FROM m")
+def mapping_stats(spark, d):
+    return cooccur.mapping_statistics(mapping(spark, d))
+
+
+@query("WITH m AS (SELECT DISTINCT l_partkey AS name, l_partkey - l_partkey % 5 AS representative FROM lineitem) SELECT size, count(*) AS n FROM (SELECT count(*) AS size FROM m GROUP BY representative) GROUP BY size")
+def mapping_sizes(spark, d):
+    return cooccur.mapping_sizes(mapping(spark, d))
+
+
+STEPS = f"""WITH {SPARSE}, p AS (SELECT l_orderkey AS path, l_partkey AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem), s AS (SELECT path, pos, node, lead(node) OVER (PARTITION BY path ORDER BY pos) AS nxt FROM p),
+st AS (SELECT weight AS w FROM s JOIN edge ON u = least(node, nxt) AND v = greatest(node, nxt) WHERE nxt IS NOT NULL)"""
+
+
+@query(f"{STEPS} SELECT count(*) AS n, round(avg(w), 6) AS mean, round(stddev_pop(w), 6) AS std, round(min(w), 6) AS least, round(max(w), 6) AS greatest FROM st")
+def step_weights(spark, d):
+    found = graph.step_weights(graph.path_weights(order_paths(spark, d), sparse(spark, d)))
+    return found.withColumns({"least": F.round("least", 6), "greatest": F.round("greatest", 6)})
+
+
+@query(f"{STEPS} SELECT round_even(w, 2) AS w, count(*) AS n FROM st GROUP BY 1")
+def step_weight_histogram(spark, d):
+    return graph.step_weight_histogram(graph.path_weights(order_paths(spark, d), sparse(spark, d)))
+
+
+@query(f"WITH RECURSIVE {REACH}, s AS (SELECT cluster, count(*) n FROM comp GROUP BY cluster) SELECT CAST(sum(n) AS BIGINT) AS nodes, count(*) AS components, max(n) AS largest, CAST(NULL AS BIGINT) AS diameter, CAST(NULL AS BIGINT) AS radius, CAST(NULL AS DOUBLE) AS mean_distance FROM s")
+def distance_profile(spark, d):
+    """The graph isn't connected: its components are told instead of distances."""
+    return graph_iter.distance_profile(near_edges(spark, d), near_ids(spark, d))
+
+
 # ---- seeded and external operators: properties are tested, rows are counted
 
 

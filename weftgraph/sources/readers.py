@@ -131,3 +131,21 @@ def embeddings(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
     if found.count() != names.count():
         raise ValueError("vectors and names differ in number")
     return found.select("idx", "name", "vec")
+
+
+def explore(df: DataFrame, n: int = 3) -> dict:
+    """Columns with their types, the number of rows and a few rows."""
+    return {"columns": dict(df.dtypes), "rows": df.count(), "sample": [r.asDict(recursive=True) for r in df.limit(n).collect()]}
+
+
+def file_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, lines, filled) of text files: all lines, and those that aren't blank."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(strip(F.col("value")) != "").alias("filled"))
+
+
+def saved_groups(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """(problem_id, pos, kp) of a saved list: parquet, json (an array of arrays) or text (blank lines between groups)."""
+    if form == "parquet":
+        return spark.read.parquet(path).select("problem_id", "pos", "kp")
+    return groups_of_json(spark.read.text(path, wholetext=True)) if form == "json" else groups_of_blocks(spark, path)

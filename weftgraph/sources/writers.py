@@ -54,6 +54,15 @@ def valid_json(lines: DataFrame) -> DataFrame:
     return lines.agg(F.count("*").alias("total"), (F.count("*") - bad).alias("valid"), bad.alias("invalid"))
 
 
+def clusters(records: DataFrame, path: str) -> None:
+    """Cluster records as `[key: value]##[key: value]` lines, by main index."""
+    quoted = F.concat(F.lit("['"), F.array_join("members", "', '"), F.lit("']"))
+    part = lambda k, c: F.concat(F.lit(f"[{k}: "), c.cast("string"), F.lit("]"))
+    indices = F.concat(F.lit("["), F.array_join(F.col("indices").cast("array<string>"), ", "), F.lit("]"))
+    line = F.concat_ws("##", part("main_keyword", F.col("main_name")), part("main_index", F.col("main_index")), part("indices", indices), part("topics", quoted))
+    records.orderBy("main_index").select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def edge_list(edges: DataFrame, path: str) -> None:
     edges.orderBy("u", "v").select(F.concat_ws("\t", "u", "v", "weight").alias("value")).write.mode("overwrite").text(path)
 
