@@ -103,6 +103,7 @@ def test_components_strong_components_and_hops(spark):
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2)) if a != b] + [(100 + i, 101 + i) for i in range(12)]
     df = spark.createDataFrame(pairs, "a long, b long")
     assert {tuple(r) for r in graph_iter.connected_components(df).collect()} == by_hand_components(pairs)
+    assert {tuple(r) for r in graph_iter.connected_components(df, 1000).collect()} == by_hand_components(pairs)
     assert graph_iter.connected_components(df.limit(0)).count() == 0
     reach = {x: {x} for p in pairs for x in p}
     for _ in range(60):
@@ -111,6 +112,7 @@ def test_components_strong_components_and_hops(spark):
     strong = {(x, min(y for y in reach[x] if x in reach[y])) for x in reach}
     arcs = df.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     assert {tuple(r) for r in graph_iter.strong_components(arcs, df.select(F.explode(F.array("a", "b")).alias("id")).distinct()).collect()} == strong
+    assert {tuple(r) for r in graph_iter.strong_components(arcs, df.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 1000).collect()} == strong
     chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long")
     assert {(r["node"], r["dist"]) for r in graph_iter.hops(chain, spark.createDataFrame([(0,)], "id long"), 3).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3)}
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+#: Graphs of so many edges or fewer may be solved by one pass on the driver, as a round of distributed steps costs more than that.
+LOCAL_EDGES = 200_000
+
 
 @dataclass(frozen=True)
 class Ingest:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.config import Clustering
+from weftgraph.config import LOCAL_EDGES, Clustering
 from weftgraph.operators.graph_iter import connected_components
 from weftgraph.operators.ranking import indexed
 
@@ -77,9 +77,9 @@ def name_index(df: DataFrame, name: str) -> DataFrame:
     return indexed(df.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct(), "name").select("idx", "name")
 
 
-def clusters(pairs: DataFrame) -> DataFrame:
+def clusters(pairs: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """(id, cluster): ids with a similar one; a cluster is named by its smallest id."""
-    return connected_components(pairs.select("a", "b")).select("id", F.col("label").alias("cluster"))
+    return connected_components(pairs.select("a", "b"), local).select("id", F.col("label").alias("cluster"))
 
 
 def cluster_records(found: DataFrame, names: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.config import Combine
+from weftgraph.config import LOCAL_EDGES, Combine
 from weftgraph.operators.graph import density
 from weftgraph.operators.graph_iter import labelled, strong_components
+from weftgraph.storage import stored
 
 
 def probability(score: Column, scores: dict[int, float] | None = None) -> Column:
@@ -70,11 +71,12 @@ def greedy_paths(starts: DataFrame, edges: DataFrame, steps: int = Combine.steps
     return state
 
 
-def dependency_statistics(edges: DataFrame, pool: DataFrame) -> DataFrame:
+def dependency_statistics(edges: DataFrame, pool: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """One row: nodes, edges, density, pool, mean in- and out-degree, weak and strong components."""
+    edges = stored(edges, "arcs")
     ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    weak = labelled(ids, edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    strong = strong_components(edges, ids)
+    weak = labelled(ids, edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), local)
+    strong = strong_components(edges, ids, local)
     one = density(edges, ids, directed=True).crossJoin(pool.agg(F.count("*").alias("pool")))
     mean = F.round(F.when(F.col("nodes") > 0, F.col("edges") / F.col("nodes")), 6)
     return one.withColumns({"mean_in": mean, "mean_out": mean}).crossJoin(weak.agg(F.countDistinct("label").alias("weak"))).crossJoin(strong.agg(F.countDistinct("label").alias("strong")))

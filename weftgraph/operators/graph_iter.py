@@ -5,18 +5,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.config import LOCAL_EDGES
 from weftgraph.storage import stored
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def roots(pairs: list[tuple]) -> dict:
+    """Each end's smallest id in its component."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def strong_roots(arcs: list[tuple], ids: list) -> dict:
+    """Each id's smallest id in its strongly connected component: one depth-first pass with an explicit stack."""
+    out: dict = {}
+    near: dict = {x: [] for x in ids}
+    for a, b in arcs:
+        near[a].append(b)
+    found, low, open_, path = {}, {}, set(), []
+    for start in ids:
+        if start in found:
+            continue
+        found[start] = low[start] = len(found)
+        open_.add(start)
+        path.append(start)
+        stack = [(start, iter(near[start]))]
+        while stack:
+            x, rest = stack[-1]
+            y = next(rest, None)
+            if y is None:
+                stack.pop()
+                if stack:
+                    low[stack[-1][0]] = min(low[stack[-1][0]], low[x])
+                if low[x] == found[x]:
+                    own = []
+                    while not own or own[-1] != x:
+                        own.append(path.pop())
+                        open_.discard(own[-1])
+                    out.update(dict.fromkeys(own, min(own)))
+            elif y not in found:
+                found[y] = low[y] = len(found)
+                open_.add(y)
+                path.append(y)
+                stack.append((y, iter(near[y])))
+            elif y in open_:
+                low[x] = min(low[x], found[y])
+    return out
+
+
+def connected_components(links: DataFrame, local: int = 0) -> DataFrame:
     """(id, label): the smallest id reachable by links (a, b), for all ids in links between different ids.
 
     Large-star and small-star steps: a number of rounds that grows with the logarithm of the longest chain, and no task
-    holds a node's neighbours, as each step joins them to a pre-aggregated minimum.
+    holds a node's neighbours, as each step joins them to a pre-aggregated minimum. Up to `local` edges the driver does it.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     size = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = size(edges)
+    if before[0] <= local:
+        kind = edges.schema["u"].dataType.simpleString()
+        return links.sparkSession.createDataFrame(list(roots([(r["u"], r["v"]) for r in edges.collect()]).items()), f"id {kind}, label {kind}")
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -28,13 +85,13 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots)
+    tops = edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(tops)
 
 
-def labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
+def labelled(ids: DataFrame, links: DataFrame, local: int = 0) -> DataFrame:
     """(id, label) of all ids: those without links are their own label."""
-    return ids.select("id").join(connected_components(links), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    return ids.select("id").join(connected_components(links, local), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
 def hops(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
@@ -63,14 +120,19 @@ def eccentricity(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return hops(edges, starts).groupBy(F.col("src").alias("id")).agg(F.max("dist").cast("long").alias("eccentricity"), F.count("*").alias("reached"), F.sum("dist").cast("long").alias("total"))
 
 
-def strong_components(edges: DataFrame, ids: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, ids: DataFrame, local: int = 0) -> DataFrame:
     """(id, label) of strongly connected components of directed edges (src, dst): label is the smallest id in it.
 
     Forward-backward colouring: nodes without a way in or out are trimmed as their own components; then every node takes the
     smallest id that reaches it as colour, and what reaches its colour's root within the colour is the root's component.
+    Up to `local` edges and ids the driver does it.
     """
     done, left = [], stored(ids.select("id").distinct(), "left")
     arcs = stored(edges.select("src", "dst").where("src <> dst").distinct(), "arcs")
+    if local and arcs.count() + left.count() <= local:
+        kind = left.schema["id"].dataType.simpleString()
+        found = strong_roots([tuple(r) for r in arcs.collect()], [r["id"] for r in left.collect()])
+        return edges.sparkSession.createDataFrame(list(found.items()), f"id {kind}, label {kind}")
     while not left.isEmpty():
         ends = arcs.select(F.col("src").alias("id")).intersect(arcs.select(F.col("dst").alias("id")))
         trimmed = left.join(ends, "id", "left_anti")
@@ -105,9 +167,9 @@ def spread(state: DataFrame, arcs: DataFrame) -> DataFrame:
         state = new.select("id", "c")
 
 
-def component_sizes(ids: DataFrame, links: DataFrame) -> DataFrame:
+def component_sizes(ids: DataFrame, links: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """(label, n) of the components of all ids, those without links included."""
-    return labelled(ids, links).groupBy("label").agg(F.count("*").alias("n"))
+    return labelled(ids, links, local).groupBy("label").agg(F.count("*").alias("n"))
 
 
 def distance_profile(edges: DataFrame, ids: DataFrame, below: int = 5000) -> DataFrame:

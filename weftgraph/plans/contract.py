@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.config import Clustering, Graph, Walk
+from weftgraph.config import LOCAL_EDGES, Clustering, Graph, Walk
 from weftgraph.functions import text as X
 from weftgraph.operators import cluster, combos, cooccur, deps, graph, graph_iter, knowledge, model, prompts, ranking, walks
 
@@ -380,7 +380,7 @@ def degree_centrality(spark, d):
 
 @query(f"WITH RECURSIVE {SPARSE}, ways AS (SELECT u s, v e FROM edge UNION ALL SELECT v, u FROM edge), reach(s, e) AS (SELECT s, s FROM ways UNION SELECT r.s, w.e FROM reach r JOIN ways w ON r.e = w.s) SELECT s AS id, min(e) AS label FROM reach GROUP BY s")
 def graph_components(spark, d):
-    return graph_iter.connected_components(sparse(spark, d).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    return graph_iter.connected_components(sparse(spark, d).select(F.col("u").alias("a"), F.col("v").alias("b")), LOCAL_EDGES)
 
 
 HOPS = NEAR + ", hop(src, node, n) AS (SELECT DISTINCT src, src, 0 FROM ways UNION SELECT h.src, w.dst, h.n + 1 FROM hop h JOIN ways w ON h.node = w.src WHERE h.n < 4), size AS (SELECT src AS id, count(DISTINCT node) AS n FROM hop GROUP BY src)"
@@ -584,7 +584,7 @@ DIRECTED = NEAR + ", arc AS (SELECT a AS src, b AS dst FROM near UNION ALL SELEC
 def strong_components(spark, d):
     e = near(spark, d)
     arcs = e.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(e.where("sim > 0.37").select(F.col("b").alias("src"), F.col("a").alias("dst")))
-    return graph_iter.strong_components(arcs, arcs.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    return graph_iter.strong_components(arcs, arcs.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), LOCAL_EDGES)
 
 
 @query(f"WITH RECURSIVE {DIRECTED}, m AS (SELECT x.src AS id, min(x.node) AS label FROM r x JOIN r y ON x.src = y.node AND x.node = y.src GROUP BY x.src), c AS (SELECT (SELECT count(*) FROM ids) AS nodes, (SELECT count(*) FROM arc) AS edges) SELECT nodes, edges, round(edges / (nodes * (nodes - 1)), 9) AS density, (SELECT count(*) FROM embeddings) AS pool, round(edges / nodes, 6) AS mean_in, round(edges / nodes, 6) AS mean_out, (SELECT count(DISTINCT cluster) FROM (SELECT w.src, min(w.node) AS cluster FROM wk w GROUP BY w.src)) AS weak, (SELECT count(DISTINCT label) FROM m) AS strong FROM c".replace(", m AS", ", wk(src, node) AS (SELECT id, id FROM ids UNION SELECT k.src, w.dst FROM wk k JOIN ways w ON k.node = w.src), m AS"))
