@@ -274,6 +274,11 @@ def test_articles_without_template_parts():
     assert page_diff.main_text(page_diff.page_lines(PAGE % "one"), None) == "Head & line\nFirst para with space more\nSecond one"
 
 
+def test_wrappers_named_after_their_parts():
+    page = '<body class="has-sidebar"><div class="with-sidebar"><article><header><h1>Title</h1></header><div class="ad">Buy</div><p>Text</p></article></div><div class="site-header">Site</div><div id="comments"><article>Nice</article></div></body>'
+    assert page_diff.main_text(page_diff.page_lines(page), None) == "Title\nText"
+
+
 def test_differencing_removes_shared_lines(spark):
     plain = "<body><div>Shop of the week</div><p>Unique %d story text</p><div>Call us now</div></body>"
     rows = [(i, f"http://h.org/a/{i:02d}", plain % i) for i in range(9)] + [(20, "http://lone.org/x", plain % 20), (21, None, None), (22, "odd", ""), (23, "http://h.org/a/03", plain % 3)]

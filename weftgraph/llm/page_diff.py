@@ -36,12 +36,14 @@ GONE = frozenset("script style noscript template head iframe object svg canvas m
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class and id names that mark template parts.
 HINTS = re.compile(
-    r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-?bar|widget|footer|foot|masthead|topbar|toolbar|share|sharing|social|related|recommended|comments?|comment-?list|replies|disqus|respond|pagination|pager|skip)(?:$|[-_ ])",
+    r"(?:^|[-_ ])(?:ads?|adbox|adverts?|advertis(?:ing|ement)|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|cookie-?(?:bar|banner|notice)|consent|gdpr|notices?|notification|alert|disclaimer|popup|modal|overlay|newsletter|subscribe|signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-?bar|rail|widget|footer|foot|masthead|topbar|toolbar|share|sharing|social|related|recommended|trending|popular|pagination|pager|skip)(?:$|[-_ ])",
     re.I,
 )
+#: These mark a page's head only outside its article.
+HEAD = re.compile(r"(?:^| )(?:(?:site|page|main|global)[-_]?)?header(?:$| )", re.I)
 MAIN_TAGS = frozenset(("article", "main"))
 #: A comment is often an article of its own; it isn't the page's.
-COMMENT = re.compile(r"(?:^|[-_ ])(?:comments?|repl(?:y|ies))(?:$|[-_ ])", re.I)
+COMMENT = re.compile(r"(?:^|[-_ ])(?:comments?|comment-?(?:list|form|section|thread)|repl(?:y|ies)|responses?|respond|discussion|disqus|feedback)(?:$|[-_ ])", re.I)
 
 
 class Lines(HTMLParser):
@@ -54,13 +56,14 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, str]] = []
 
     def zone(self) -> str | None:
+        """A name's hint yields to an article inside, as wrappers are named after their parts; all other marks hold."""
         found = "plain"
         for _, z in self.open:
             if z == "gone":
                 return None
             if z == "template":
                 return "template"
-            found = z or found
+            found = "template" if z == "hint" else z or found
         return found
 
     def flush(self) -> None:
@@ -92,12 +95,16 @@ class Lines(HTMLParser):
         zone = None
         if tag in ("script", "style", "template", "head", "noscript", "iframe", "object", "svg", "canvas"):
             zone = "gone"
-        elif tag in GONE or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", named.get("style", "")) or tag not in ("html", "body") and tag not in MAIN_TAGS and HINTS.search(marks):
+        elif tag in GONE or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", named.get("style", "")):
             zone = "template"
         elif tag in MAIN_TAGS or named.get("role", "").lower() in ("main", "article") or named.get("itemprop") == "articleBody":
             zone = "template" if COMMENT.search(marks) else "main"
-        elif tag == "header" and not any(z == "main" for _, z in self.open):
-            zone = "template"
+        elif tag not in ("html", "body"):
+            inside = any(z == "main" for _, z in self.open)
+            if COMMENT.search(marks):
+                zone = "template"
+            elif HINTS.search(marks) or not inside and (tag == "header" or HEAD.search(marks)):
+                zone = "hint"
         self.open.append((tag, zone))
 
     def shut_paragraph(self) -> None:
