@@ -207,7 +207,8 @@ def anchored(docs: DataFrame, counts: np.ndarray, join: Join, text: str) -> Data
                 seen.add(f)
                 c = many[(h >> np.uint64(64 - WIDTH)).astype(np.int64)]
                 rows.append((f, len(h), float(np.log(c).mean()), bitmap(h)))
-                anchors.append(h[np.lexsort((h, c))[: join.anchors(len(h))]].astype(np.int64))
+                # 48 bits do: an anchor that two shingles share by chance only makes a region larger, and shuffles are a fifth smaller
+                anchors.append((h[np.lexsort((h, c))[: join.anchors(len(h))]] >> np.uint64(16)).astype(np.int64))
             ends = np.cumsum([0, *map(len, anchors)])
             columns = zip(*rows, strict=True) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.binary()), strict=True)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *anchors])))], ["f1", "n", "central", "bits", "anchors"])
@@ -383,7 +384,8 @@ def class_links(docs: DataFrame, parts: DataFrame, join: Join, text: str, key: s
     """(a, b) links between classes; their components are those of all links."""
     entries = stored(anchored(docs, total_counts(parts), join, text), "anchors")
     each = entries.select("f1", F.explode("anchors").alias("anchor"))
-    met = each.groupBy("anchor").agg(F.min("f1").alias("_a"), F.max("f1").alias("_b")).where("_a < _b").select("anchor")
+    short = F.shiftrightunsigned("f1", 16)
+    met = each.groupBy("anchor").agg(F.min(short).alias("_a"), F.max(short).alias("_b")).where("_a < _b").select("anchor")
     own = stored(each.join(met, "anchor", "left_semi"), "met").distinct()
     entries = entries.join(own.select("f1").distinct(), "f1", "left_semi").dropDuplicates(["f1"]).drop("anchors")
     entries = stored(entries, "met-classes")
