@@ -290,6 +290,26 @@ def test_differencing_removes_shared_lines(spark):
     assert page_diff.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_keep_their_text(spark):
+    """Copies are no neighbours of each other, within and across the edges of ranges, whole ranges of them included."""
+    plain = "<body><div>Shop of the week</div><p>Unique %s story text</p><div>Call us now</div></body>"
+    rows = [(i, f"http://h.org/a/{i:03d}", plain % (i if i < 5 or i > 54 else "same")) for i in range(60)]
+    rows += [(100, "http://h.org/a/003?print=1", plain % 3), (101, "http://h.org/a/003", plain % 3), (102, "http://one.org/x", plain % "one"), (103, "http://one.org/y", plain % "one")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "2", "7", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found = {r["page_id"]: r["text"] for r in page_diff.extracted(pages).collect()}
+            assert len(found) == 64
+            for i in range(60):
+                assert found[i] == f"Unique {i if i < 5 or i > 54 else 'same'} story text"
+            assert found[100] == found[101] == found[3]
+            assert found[102] == found[103] == "Shop of the week\nUnique one story text\nCall us now"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(200):

@@ -6,8 +6,9 @@ from page to page. Two things bound what a shared line means: lines that a page
 another page has them too (articles quote the same passages), and lines marked up as navigation, notices, adverts, forms or
 comments go even where they differ.
 
-Null and empty HTML gives an empty text. Null and odd URLs sort together as one host. Repeated pages are each other's
-partners; their articles stay. A host's only page has no partner. Every page gives one row.
+Null and empty HTML gives an empty text. Null and odd URLs sort together as one host. A page's copies (the same lines) are
+not its neighbours: the nearest pages of the host that differ are, so every copy keeps its text. A host whose pages are all
+the same has no partners. Every page gives one row.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from weftgraph.llm.common import arrow_rows, stored, table
+from weftgraph.llm.common import ARROW_ROWS, arrow_rows, stored, table
 
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
@@ -182,12 +182,10 @@ Neighbour = tuple[str, list[int]]
 
 
 class Page(NamedTuple):
-    key: object
-    url: str | None
     host: str
     path: str
     lines: list[tuple[str, str]]
-    at: int
+    print: bytes
 
 
 def line_hash(text: str) -> int:
@@ -203,10 +201,9 @@ def shared_path(a: str, b: str) -> int:
     return n
 
 
-def chosen(lines: list[tuple[str, str]], path: str, before: Neighbour | None, after: Neighbour | None) -> str:
-    """The text left after differencing with the nearer neighbour; the one before if both are as near."""
-    near = after if before is None or after is not None and shared_path(path, after[0]) > shared_path(path, before[0]) else before
-    return main_text(lines, near and near[1])
+def nearer(path: str, before: Neighbour | None, after: Neighbour | None) -> Neighbour | None:
+    """The neighbour to difference with; the one before if both are as near."""
+    return after if before is None or after is not None and shared_path(path, after[0]) > shared_path(path, before[0]) else before
 
 
 def packed_lines(lines: list[tuple[str, str]]) -> bytes:
@@ -226,12 +223,33 @@ def outside(lines: list[tuple[str, str]]) -> list[int]:
     return [line_hash(t) for t, z in lines if z != "main"]
 
 
+def page_print(lines: list[tuple[str, str]]) -> bytes:
+    """Equal for copies, however they are marked up."""
+    return xxh3_128_digest("\n".join(t for t, _ in lines))
+
+
+def beyond(edges: list[tuple]) -> list[dict | None]:
+    """For the first run of each task the nearest page of its host in the tasks before, or None; runs of copies may fill whole tasks.
+
+    edges, in the order of tasks: the first page, the last one, the one before the last run if its host is the same, the number of runs.
+    """
+    out: list[dict | None] = []
+    last = other = None
+    for first, end, inner, runs in edges:
+        found = None
+        if last is not None and last["host"] == first["host"]:
+            found = other if last["print"] == first["print"] else last
+        out.append(found)
+        last, other = end, found if runs == 1 else inner
+    return out
+
+
 def extracted(pages: DataFrame, source: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """key, url, text and n_chars of every page.
 
     Pages are reduced to their lines and sorted by range of host and path, so that a hot host spreads over tasks. A task sees its
-    pages in order, and so both neighbours of all but its first and last; these, two a task at most, are settled afterwards
-    with those of the tasks beside it. So the result doesn't hang on where ranges end.
+    pages in order, as runs of copies, and so both neighbours of all runs but its first and last; the pages of these wait and are
+    settled afterwards, when a row a task tells which pages lie beyond. So the result doesn't hang on where ranges end.
     """
     arrow_rows(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
@@ -246,64 +264,114 @@ def extracted(pages: DataFrame, source: str = "html", url: str = "url", key: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), blobs], [key, url, "_host", "_path", "_lines"])
 
     ordered = keyed.mapInArrow(reduce, f"{own}, _host string, _path string, _lines binary").repartitionByRange("_host", "_path", key).sortWithinPartitions("_host", "_path", key)
-    fields = f"{own}, text string, _part int, _at long, _host string, _path string, _lines binary, _before struct<path:string,hashes:array<long>>, _after struct<path:string,hashes:array<long>>"
+    neighbour, end = "struct<path:string,hashes:array<long>>", "struct<host:string,print:binary,path:string,hashes:array<long>>"
+    fields = f"{own}, text string, _part int, _run string, _path string, _lines binary, _edge struct<first:{end},second:{neighbour},inner:{neighbour},last:{end},runs:long>"
     side = pa.struct([("path", pa.string()), ("hashes", pa.list_(pa.int64()))])
+    limit = pa.struct([("host", pa.string()), ("print", pa.binary()), *side])
+    edge = pa.struct([("first", limit), ("second", side), ("inner", side), ("last", limit), ("runs", pa.int64())])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        names = [key, url, "text", "_part", "_at", "_host", "_path", "_lines", "_before", "_after"]
-        at, previous, current, types = 0, None, None, None
+        names = [key, url, "text", "_part", "_run", "_path", "_lines", "_edge"]
+        types = None
+        rows: list[tuple] = []
+        run: list[tuple] = []  # key, url, path and packed lines of a run of copies
+        before = first = last = second = None
+        runs = 0
 
         def near(other: Page | None, host: str) -> Neighbour | None:
             return (other.path, outside(other.lines)) if other is not None and other.host == host else None
 
-        def settled(p: Page, after: Page | None, last: bool) -> tuple:
-            """A row; of the first and last page of a task, what is needed to settle it later."""
-            x, y = near(previous, p.host), near(after, p.host)
-            if p.at and not last:
-                return (p.key, p.url, chosen(p.lines, p.path, x, y), part, p.at, None, None, None, None, None)
-            as_struct = lambda n: n and {"path": n[0], "hashes": n[1]}
-            return (p.key, p.url, None, part, p.at, p.host, p.path, packed_lines(p.lines), as_struct(x), as_struct(y))
+        def struct(n: Neighbour | None) -> dict | None:
+            return n and {"path": n[0], "hashes": n[1]}
+
+        def ends(p: Page) -> dict:
+            return {"host": p.host, "print": p.print, "path": p.path, "hashes": outside(p.lines)}
 
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (*types, pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary(), side, side), strict=True)], names)
+        def settled(after: Page | None, waits: str | None) -> Iterator[tuple]:
+            """The rows of a run; of the first and last run of a task, what is needed to settle them later."""
+            if waits:
+                for k, u, q, data in run:
+                    yield (k, u, None, part, waits, q, data, None)
+                return
+            x, y = near(before, last.host), near(after, last.host)
+            texts: dict[tuple, str] = {}
+            for k, u, q, data in run:
+                n = nearer(q, x, y)
+                if (data, n is x) not in texts:
+                    texts[data, n is x] = main_text(unpacked_lines(data), n and n[1])
+                yield (k, u, texts[data, n is x], part, None, None, None, None)
+
+        def batch(some: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*some, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (*types, pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary(), edge), strict=True)], names)
 
         for b in batches:
-            types, rows = (b.column(0).type, b.column(1).type), []
+            types = (b.column(0).type, b.column(1).type)
             for k, u, h, q, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                page = Page(k, u, h, q, unpacked_lines(data), at)
-                at += 1
-                if current is not None:
-                    rows.append(settled(current, page, False))
-                    previous = current
-                current = page
-            if rows:
-                yield batch(rows)
-        if current is not None:
-            yield batch([settled(current, None, True)])
+                if run and last.host == h and run[-1][3] == data:
+                    page, data = last._replace(path=q), run[-1][3]
+                else:
+                    lines = unpacked_lines(data)
+                    page = Page(h, q, lines, page_print(lines))
+                if last is None:
+                    first, runs = page, 1
+                elif (last.host, last.print) != (h, page.print):
+                    if runs == 1:
+                        second = near(page, first.host)
+                    for row in settled(page, "first" if runs == 1 else None):
+                        rows.append(row)
+                        if len(rows) == ARROW_ROWS:
+                            yield batch(rows)
+                            rows = []
+                    before, run, runs = last, [], runs + 1
+                run.append((k, u, q, data))
+                last = page
+        if last is not None:
+            for row in settled(None, "last" if runs > 1 else "only"):
+                rows.append(row)
+                if len(rows) == ARROW_ROWS:
+                    yield batch(rows)
+                    rows = []
+            ended = {"first": ends(first), "second": struct(second), "inner": struct(near(before, last.host)), "last": ends(last), "runs": runs}
+            yield batch([*rows, (None, None, None, part, None, None, None, ended)])
 
     found = stored(ordered.mapInArrow(stream, fields), "pages")
-    # two rows a task at most: the tasks' number bounds this window
-    w = W.orderBy("_part", "_at")
-    edge = lambda f: f(F.struct("_part", "_at", "_host", "_path", "_lines")).over(w)
-    edges = found.where("_lines is not null").withColumns({"_lag": edge(F.lag), "_lead": edge(F.lead)})
+    sides = f"_part int, _left {neighbour}, _second {neighbour}, _inner {neighbour}, _right {neighbour}"
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tasks = sorted(((r["_part"], r["_edge"]) for b in batches for r in b.to_pylist()), key=lambda x: x[0])
+        if not tasks:
+            return
+        left = beyond([(e["first"], e["last"], e["inner"], e["runs"]) for _, e in tasks])
+        right = beyond([(e["last"], e["first"], e["second"], e["runs"]) for _, e in reversed(tasks)])[::-1]
+        slim = lambda n: n and {"path": n["path"], "hashes": n["hashes"]}
+        columns = [map(slim, left), (e["second"] for _, e in tasks), (e["inner"] for _, e in tasks), map(slim, right)]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in tasks], pa.int32()), *(pa.array(list(c), side) for c in columns)], ["_part", "_left", "_second", "_inner", "_right"])
+
+    # a row a task: the tasks' number bounds what one task resolves and what is broadcast
+    resolved = found.where("_edge is not null").select("_part", "_edge").coalesce(1).mapInArrow(resolve, sides)
+    waiting = found.where("_run is not null").select(key, url, "_part", "_run", "_path", "_lines").join(F.broadcast(resolved), "_part")
+    x = F.when(F.col("_run") == "last", F.col("_inner")).otherwise(F.col("_left"))
+    y = F.when(F.col("_run") == "first", F.col("_second")).otherwise(F.col("_right"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[tuple, str] = {}
+        run = None
         for b in batches:
-            texts = []
-            for r in b.to_pylist():
-                x, y = (n and (n["path"], n["hashes"]) for n in (r["_before"], r["_after"]))
-                for other in (r["_lag"], r["_lead"]):
-                    # a neighbour in another task; in its own task a page knows its neighbours
-                    if other and other["_part"] != r["_part"] and other["_host"] == r["_host"]:
-                        n = (other["_path"], outside(unpacked_lines(other["_lines"])))
-                        x, y = (n, y) if other is r["_lag"] else (x, n)
-                texts.append(chosen(unpacked_lines(r["_lines"]), r["_path"], x, y))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], [key, url, "text"])
-
-    late = edges.mapInArrow(settle, f"{own}, text string")
-    return found.where("_lines is null").select(key, url, "text").unionByName(late).withColumn("n_chars", F.length("text").cast("long"))
+            out = []
+            for r in b.select(["_part", "_run", "_path", "_lines", "_before", "_after"]).to_pylist():
+                if run != (run := (r["_part"], r["_run"])):
+                    texts = {}
+                before, after = (n and (n["path"], n["hashes"]) for n in (r["_before"], r["_after"]))
+                n = nearer(r["_path"], before, after)
+                if (r["_lines"], n is before) not in texts:
+                    texts[r["_lines"], n is before] = main_text(unpacked_lines(r["_lines"]), n and n[1])
+                out.append(texts[r["_lines"], n is before])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], [key, url, "text"])
+
+    late = waiting.select(key, url, "_part", "_run", "_path", "_lines", x.alias("_before"), y.alias("_after")).mapInArrow(settle, f"{own}, text string")
+    return found.where("_run is null and _edge is null").select(key, url, "text").unionByName(late).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
