@@ -310,6 +310,16 @@ def test_copies_keep_their_text(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def test_differencing_decides_unmarked_lines_of_marked_pages(spark):
+    cards = "<body><div>Shop of the week</div><main><h1>Head %d</h1></main><div>Body %d of the story</div><p>Second part %d</p><div>Call us now</div></body>"
+    rows = [(i, f"http://h.org/a/{i}", cards % (i, i, i)) for i in range(5)]
+    found = {r["page_id"]: r["text"] for r in page_diff.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Head {i}\nBody {i} of the story\nSecond part {i}" for i in range(5)}
+    alone = page_diff.page_lines("<body><article><p>Teaser</p></article><div>A story beside the teaser, and longer than it</div></body>")
+    assert page_diff.main_text(alone, None) == "Teaser\nA story beside the teaser, and longer than it"
+    assert page_diff.main_text(page_diff.page_lines("<body><article><p>The whole story</p></article><div>Shop</div></body>"), None) == "The whole story"
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(200):

@@ -3,7 +3,7 @@
 Pages of a host are ordered by URL path; a page's partner is the neighbour in that order whose path shares more with its own.
 The two pages' lines are aligned by longest common subsequence, and lines that both have are deleted, as templates repeat
 from page to page. Two things bound what a shared line means: lines that a page marks up as its article are kept though
-another page has them too (articles quote the same passages), and lines marked up as navigation, notices, adverts, forms or
+another page has them too (articles quote the same passages), beside the unmarked lines that the partner lacks; and lines marked up as navigation, notices, adverts, forms or
 comments go even where they differ.
 
 Null and empty HTML gives an empty text. Null and odd URLs sort together as one host. A page's copies (the same lines) are
@@ -169,12 +169,17 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
 
 
 def main_text(lines: list[tuple[str, str]], partner: list[int] | None) -> str:
-    """What stays of a page's lines. partner: hashes of the partner's lines outside an article."""
+    """What stays of a page's lines. partner: hashes of the partner's lines outside an article.
+
+    Marked lines stay, and unmarked ones that the partner lacks. With nothing to compare, a marked part that is at least as long
+    as the unmarked one is taken for the whole article.
+    """
     shared: set[int] = set()
     if partner:
         shared = common_lines([line_hash(t) for t, _ in lines], partner)
-    marked = any(z == "main" for _, z in lines)
-    return "\n".join(t for i, (t, z) in enumerate(lines) if z == "main" or z == "plain" and not marked and i not in shared)
+    sizes = {zone: sum(len(t) for t, z in lines if z == zone) for zone in ("main", "plain")}
+    trusted = not partner and sizes["main"] >= sizes["plain"]
+    return "\n".join(t for i, (t, z) in enumerate(lines) if z == "main" or z == "plain" and not trusted and i not in shared)
 
 
 #: A page's path and the hashes of its lines outside an article.
