@@ -157,6 +157,22 @@ def test_entropy_spans_and_allow_list():
     assert secret_scan.redact("a token=12345678 b", s.spans("a token=12345678 b")) == "a [SECRET] b"
 
 
+def test_allow_list_covers_its_matches_only():
+    s, rng = secret_scan.Scanner(), random.Random(5)
+    key = "Zx9Qm2Lp7Vt4Kw8Rb3Nc6"
+    found = lambda text: [text[a:b] for a, b, k in s.spans(text) if k == "entropy"]
+    for allowed in ("xxxx", "0123456789", "123e4567-e89b-12d3-a456-426614174000", "example"):
+        assert found(f"an {allowed}/{key}/ of")[0].find(key) >= 0
+    assert found("Zx9Qm2Lp7Vt4Kw8Rb3Nc//6Zx9Qm2Lp7Vt4Kw8Rb3Nc6")
+    assert found("see http://Zx9Qm2Lp7Vt4Kw8Rb3Nc6 /usr/local/share/doc 123e4567-e89b-12d3-a456-426614174000") == []
+    assert found("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") == []
+    for letters in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        tokens = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(500)]
+        assert sum(bool(found(f"so {t} it")) for t in tokens) >= 490
+    blobs = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1700)) for _ in range(100)]
+    assert all(sum(map(len, found(b))) > 1600 for b in blobs)
+
+
 def test_scan_rows(docs, none, texts):
     rows = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs).collect()}
     assert rows[texts.index(None)] == [] and len(rows) == len(texts) + 1

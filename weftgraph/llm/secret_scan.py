@@ -2,7 +2,8 @@
 
 Three fixed kinds are found by pattern. The method adds a fourth: in candidate strings, runs of one character class are
 read by a sliding window whose Shannon entropy is kept by incremental counts; windows over the class's threshold join to
-a span, unless the candidate is on the allow list or a fixed span already covers it.
+a span, unless a fixed span already covers it. Windows that overlap a match of the allow list are not read; the rest of the
+candidate is.
 
 Null and empty texts have no spans. Repeated rows each give a row. Offsets are code points, ends exclusive.
 """
@@ -46,13 +47,19 @@ class CharClass:
 CLASSES = (
     CharClass("hex", r"[0-9A-Fa-f]{24,}", 24, 3.0, (r"[0-9]", r"[A-Fa-f]")),
     CharClass("base64", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.7, (r"[0-9]", r"[a-z]", r"[A-Z]")),
+    CharClass("base36", r"[a-z0-9]{20,}", 20, 3.6, (r"(?:[0-9][^0-9]*){3}", r"[a-z]")),
+    CharClass("base32", r"[A-Z0-9]{20,}", 20, 3.6, (r"(?:[0-9][^0-9]*){2}", r"[A-Z]")),
 )
+#: A run of letters and digits with one of these is made up as a whole.
+MADE_UP = re.compile(r"(?i)example|sample|dummy|placeholder|changeme")
+WORD = re.compile(r"[A-Za-z0-9]+")
+#: Searched in the text from a candidate's start to its end; what stands before it can be looked at.
 ALLOW = (
-    r"(?i)example|sample|dummy|placeholder|changeme|xxxx",
+    r"(?i)xxxx",
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
     r"(?i)abcdefghij|0123456789",
-    r"(?:https?:)?//|(?:/[a-z_-]+){3,}",
-    r"^[A-Za-z]+$",
+    r"(?<=:)//[A-Za-z0-9_-]*|(?:/[a-z_-]{2,}){3,}",
+    r"(?<![A-Za-z0-9+/_=-])[A-Za-z]+(?![A-Za-z0-9+/_=-])",
 )
 
 
@@ -95,6 +102,14 @@ def hot_windows(s: str, window: int, bits: float) -> list[tuple[int, int]]:
     return out
 
 
+def outside(spans: list[tuple[int, int]], start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The stretches from start to end that no span touches; spans are sorted."""
+    for s, e in [*spans, (end, end)]:
+        if s > start:
+            yield start, s
+        start = max(start, e)
+
+
 class Scanner:
     def __init__(self, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW):
         self.classes = [(c, re.compile(c.run), [re.compile(n) for n in c.needs]) for c in classes]
@@ -103,14 +118,14 @@ class Scanner:
     def entropy_spans(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         out: list[tuple[int, int, str]] = []
         for m in CANDIDATE.finditer(text):
-            string = m.group()
-            if any(a.search(string) for a in self.allow):
-                continue
+            allowed = [x.span() for a in self.allow for x in a.finditer(text, *m.span())]
+            if MADE_UP.search(text, *m.span()):
+                allowed += [x.span() for x in WORD.finditer(text, *m.span()) if MADE_UP.search(x.group())]
             for c, run, needs in self.classes:
-                for r in run.finditer(string):
+                for r in (r for part in outside(sorted(allowed), *m.span()) for r in run.finditer(text, *part)):
                     for s, e in hot_windows(r.group(), c.window, c.bits):
                         found = r.group()[s:e]
-                        s, e = m.start() + r.start() + s, m.start() + r.start() + e
+                        s, e = r.start() + s, r.start() + e
                         if all(n.search(found) for n in needs) and not any(x <= s and e <= y for x, y, _ in (*base, *out)):
                             out.append((s, e, "entropy"))
         return out
