@@ -11,8 +11,9 @@ over classes is exact and has three steps.
    bits, or more. Regions fall apart into what can still link; only those classes' sets are read.
 2. A region of up to `region` classes is joined in one task: classes are ordered by distance to the pivot, and by the
    triangle inequality only those whose distances to it differ by at most the threshold are compared.
-3. Larger regions are split again by pivots of their own: each class goes to its nearest pivot and to every pivot within
-   twice the threshold more, until regions fit; what pivots cannot split is joined block against block.
+3. Larger regions are first cut into pairs of hash blocks, joined block against block by bitmaps (all pairs), and fall apart there.
+   Should one still be too large, it is split by pivots of its own: each class goes to its nearest pivot and to every pivot
+   within twice the threshold more. With the default region this hardly comes up, as a pair of blocks holds about two thirds of it.
 
 Only links that join two parts of a region are kept; components come from large-star and small-star steps.
 
