@@ -406,6 +406,17 @@ def test_near_duplicates_keep_one_of_each(spark, docs, none, texts):
     assert jaccard_join.jaccard_components(none).count() == jaccard_join.one_of_each(none, corpus_pipeline.NEAR).count() == 0
 
 
+def test_rows_that_share_a_key_are_judged_by_text(spark):
+    rng = random.Random(8)
+    words = vocabulary(rng, 300, "abcdefgh")
+    own = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(6)]
+    rows = [(1, own[0]), (2, own[0] + " end"), (2, own[1]), (3, own[2]), (3, own[3]), (4, own[4]), (4, own[4]), (None, own[5]), (None, own[4])]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), corpus_pipeline.NEAR)
+    assert kept.columns == ["doc_id", "text"]
+    want = [(1, own[0]), (2, own[1]), (3, own[2]), (3, own[3]), (4, own[4]), (None, own[5]), (None, own[4])]
+    assert Counter(map(tuple, kept.collect())) == Counter(want)
+
+
 # ---- 8 packing
 
 

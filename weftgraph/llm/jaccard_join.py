@@ -430,19 +430,25 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), text: str = "text",
 
 
 def one_of_each(docs: DataFrame, join: Join, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs, with the columns they have, without those whose component has a smaller key; of rows that repeat a key one stays.
+    """The rows of docs, with the columns they have, without those whose component has a smaller key; of rows that repeat a key and a text one stays.
 
-    Rows with a null key stay. What goes is usually little: its keys are broadcast if they are few enough, else shuffled.
+    Keys that are null or repeat don't tell rows apart. If there are any, rows are joined and dropped by key and text, so that a
+    text is judged by its own links only. Rows with a null key stay and come after all others.
+    What goes is usually little: its keys are broadcast if they are few enough, else shuffled.
     """
-    found = stored(jaccard_components(docs, join, text, key).select(F.col(key).alias("_key"), "component_id"), "found")
-    gone = found.where("_key <> component_id").select("_key").distinct()
-    again = found.where("_key = component_id").groupBy("_key").count().where("count > 1").select("_key")
-    near = lambda keys: F.broadcast(keys) if keys.count() <= join.broadcast else keys
-    same = docs[key] == F.col("_key")
-    rest = docs.join(near(gone), same, "left_anti")
-    if not again.limit(1).count():
+    unclear = docs.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull())
+    repeats = bool(unclear.limit(1).count())
+    name = "_row" if repeats else key
+    if repeats:
+        docs = docs.withColumn(name, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("text")))
+    found = stored(jaccard_components(docs, join, text, name).select(F.col(name).alias("_key"), "component_id"), "found")
+    gone = found.where("_key <> component_id and not _key.none" if repeats else "_key <> component_id").select("_key").distinct()
+    near = F.broadcast(gone) if gone.count() <= join.broadcast else gone
+    rest = docs.join(near, docs[name] == F.col("_key"), "left_anti")
+    if not repeats:
         return rest
-    return rest.join(near(again), same, "left_anti").unionByName(docs.join(near(again), same, "left_semi").dropDuplicates([key]))
+    nameless = F.col(key).isNull()
+    return rest.where(~nameless).dropDuplicates([name]).unionByName(rest.where(nameless)).drop(name)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
