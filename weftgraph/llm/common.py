@@ -1,17 +1,23 @@
-"""Helpers shared by the training-data operators: skew-safe joins and gapless ranks; stored tables come from weftgraph.storage."""
+"""Helpers shared by the training-data operators: skew-safe joins, gapless ranks and cuts of Arrow batches; stored tables come from weftgraph.storage."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.storage import stored
+from weftgraph.storage import released, stored
 
-__all__ = ["arrow_rows", "ranked", "skew_join", "stored", "table"]
+__all__ = ["portions", "ranked", "released", "skew_join", "stored", "table"]
 
-#: Rows in one Arrow batch: bounds a Python worker's memory when texts are long.
-ARROW_ROWS = 500
+#: What a Python worker holds as objects at once: rows, and bytes of texts unless a single one is longer. Spark bounds the
+#: bytes of the Arrow batches themselves (spark.sql.execution.arrow.maxBytesPerBatch).
+PORTION_ROWS, PORTION_BYTES = 500, 4 << 20
 
 #: A join key with more than this share of a side's rows is hot; at most 1 / HOT_SHARE keys can be.
 HOT_SHARE = 1 / 2000
@@ -21,11 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the Arrow batch size of this session, if it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def portions(batches: Iterator[pa.RecordBatch], text: int, rows: int = PORTION_ROWS, size: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of at most so many rows, and so many bytes in the column of texts or one row."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < b.num_rows:
+            full = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, side="right"))
+            end = max(begin + 1, min(begin + rows, full))
+            yield b.slice(begin, end - begin)
+            begin = end
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, rows: int | None = None, how: str = "left") -> DataFrame:

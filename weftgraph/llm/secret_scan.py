@@ -5,21 +5,26 @@ read by a sliding window whose Shannon entropy is kept by incremental counts; wi
 a span, unless a fixed span already covers it. Windows that overlap a match of the allow list are not read; the rest of the
 candidate is.
 
-Null and empty texts have no spans. Repeated rows each give a row. Offsets are code points, ends exclusive.
+Work grows with a text's length alone: what a span lies in is looked up among sorted spans.
+
+Null and empty texts have no spans. Repeated rows and null keys each give a row. Offsets are code points, ends exclusive.
+Empty tables give no rows. Only the named columns are read, so others may have any name; redacted() keeps them all.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_rows, table
+from weftgraph.llm.common import portions, table
 
 #: Fixed patterns of the contract, with the least length of what counts.
 KINDS = ("assign", "access", "hex")
@@ -102,6 +107,23 @@ def hot_windows(s: str, window: int, bits: float) -> list[tuple[int, int]]:
     return out
 
 
+class Cover:
+    """Whether a stretch lies in one of some spans: those that begin no later, by the furthest of their ends."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        own = sorted(spans)
+        self.starts, self.ends = [s for s, _ in own], list(accumulate((e for _, e in own), max))
+
+    def add(self, start: int, end: int) -> None:
+        """A span that begins no earlier than those before it."""
+        self.starts.append(start)
+        self.ends.append(max(end, self.ends[-1] if self.ends else 0))
+
+    def holds(self, start: int, end: int) -> bool:
+        n = bisect_right(self.starts, start)
+        return n > 0 and self.ends[n - 1] >= end
+
+
 def outside(spans: list[tuple[int, int]], start: int, end: int) -> Iterator[tuple[int, int]]:
     """The stretches from start to end that no span touches; spans are sorted."""
     for s, e in [*spans, (end, end)]:
@@ -117,17 +139,23 @@ class Scanner:
 
     def entropy_spans(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         out: list[tuple[int, int, str]] = []
+        fixed = Cover([(s, e) for s, e, _ in base])
         for m in CANDIDATE.finditer(text):
+            found_by: list[Cover] = []
             allowed = [x.span() for a in self.allow for x in a.finditer(text, *m.span())]
             if MADE_UP.search(text, *m.span()):
                 allowed += [x.span() for x in WORD.finditer(text, *m.span()) if MADE_UP.search(x.group())]
+            allowed.sort()
             for c, run, needs in self.classes:
-                for r in (r for part in outside(sorted(allowed), *m.span()) for r in run.finditer(text, *part)):
+                own = Cover([])
+                for r in (r for part in outside(allowed, *m.span()) for r in run.finditer(text, *part)):
                     for s, e in hot_windows(r.group(), c.window, c.bits):
                         found = r.group()[s:e]
                         s, e = r.start() + s, r.start() + e
-                        if all(n.search(found) for n in needs) and not any(x <= s and e <= y for x, y, _ in (*base, *out)):
+                        if all(n.search(found) for n in needs) and not any(x.holds(s, e) for x in (fixed, *found_by)):
                             out.append((s, e, "entropy"))
+                            own.add(s, e)
+                found_by.append(own)
         return out
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
@@ -147,12 +175,11 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]")
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """key and spans, an array of (start, end, kind) over the whole text."""
-    arrow_rows(docs.sparkSession)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(classes, allow)
-        for b in batches:
+        for b in portions(batches, 1):
             rows = [[{"start": s, "end": e, "kind": k} for s, e, k in scanner.spans(t)] if t else [] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], [key, "spans"])
 
@@ -161,13 +188,12 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", classes: tupl
 
 def redacted(docs: DataFrame, text: str = "text", size: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of text replaced by mark (null stays null); size, if it is a column, follows the new text. All other columns stay as they are."""
-    arrow_rows(docs.sparkSession)
     at = docs.columns.index(text)
     at_size = docs.columns.index(size) if size in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        for b in batches:
+        for b in portions(batches, at):
             texts, changed = b.column(at).to_pylist(), False
             sizes = b.column(at_size).to_pylist() if at_size is not None else None
             for i, t in enumerate(texts):
