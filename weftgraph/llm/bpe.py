@@ -10,50 +10,103 @@ import base64
 import json
 import re
 import sys
-import unicodedata
+from collections.abc import Callable, Iterator
+from functools import cache, cached_property
 
 import ahocorasick
+import tiktoken
+from tokenizers import Regex, normalizers
 
 NEVER = 1 << 60
-#: Unicode White_Space, as the tokenizers' \s has it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+#: Code points of a text whose pieces are listed together.
+STRETCH = 1 << 20
+#: A place where no piece goes on from before: an ASCII space after something else. (What re holds for no space, the libraries do too.)
+BORDER = re.compile(r"(?<=\S)[ \n]")
 
 
-def unicode_class(kind: str, top: int = sys.maxunicode) -> str:
-    """The inside of a character class for a general category (L or N), up to a code point."""
-    ranges, first = [], None
-    for c in range(top + 2):
-        inside = c <= top and unicodedata.category(chr(c))[0] == kind
-        if inside and first is None:
-            first = c
-        elif not inside and first is not None:
-            ranges.append(f"\\U{first:08x}-\\U{c - 1:08x}" if c - 1 > first else f"\\U{first:08x}")
-            first = None
-    return "".join(ranges)
+def stretches(text: str) -> Iterator[str]:
+    """The text cut at borders, about every STRETCH code points."""
+    begin = 0
+    while len(text) - begin > STRETCH:
+        m = BORDER.search(text, begin + STRETCH)
+        if not m:
+            break
+        yield text[begin : m.start()]
+        begin = m.start()
+    yield text[begin:]
 
 
+@cache
+def every_code_point() -> str:
+    return "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
 
-def piece_pattern(pattern: str, top: int = sys.maxunicode) -> re.Pattern:
+
+@cache
+def ranks_class(pattern: str) -> list[int]:
+    """The code points that the tiktoken library holds for a class such as \\p{L}; its Unicode tables are newer than Python's."""
+    library = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    return list(map(ord, bytes(library.encode_ordinary(every_code_point())).decode()))
+
+
+@cache
+def json_class(pattern: str) -> list[int]:
+    """The code points that the tokenizers library holds for a class."""
+    return list(map(ord, normalizers.Replace(Regex(f"[^{pattern}]+"), "").normalize_str(every_code_point())))
+
+
+def inside_class(points: list[int], top: int) -> str:
+    """The inside of a character class for ascending code points up to a top."""
+    ranges: list[list[int]] = []
+    for c in points:
+        if c > top:
+            break
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" if b > a else f"\\U{a:08x}" for a, b in ranges)
+
+
+def piece_pattern(pattern: str, members: Callable[[str], list[int]], top: int = sys.maxunicode) -> re.Pattern:
     r"""A tokenizer's split pattern for re, which is faster than regex here but knows no \p{..}; for texts up to a code point."""
-    letters, numbers = unicode_class("L", top), unicode_class("N", top)
+    letters, numbers, space = (inside_class(members(c), top) for c in (r"\p{L}", r"\p{N}", r"\s"))
     pattern = pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")
-    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{SPACE}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
-    return re.compile(pattern.replace(r"(?!\S)", f"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]"))
+    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+    return re.compile(pattern.replace(r"(?!\S)", f"(?![^{space}])").replace(r"\s", f"[{space}]"))
+
+
+def in_latin1(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Pieces:
-    """Splits texts; a pattern with small classes serves texts within Latin-1 three times as fast, with the same pieces."""
+    """Splits texts; a pattern with small classes serves texts within Latin-1 three times as fast, with the same pieces.
+
+    members: the library's code points of a class.
+    """
 
-    def __init__(self, pattern: str):
-        self.small, self.full = piece_pattern(pattern, 255), piece_pattern(pattern)
+    def __init__(self, pattern: str, members: Callable[[str], list[int]]):
+        self.pattern, self.members = pattern, members
+        self.small = piece_pattern(pattern, members, 255)
+
+    @cached_property
+    def full(self) -> re.Pattern:
+        return piece_pattern(self.pattern, self.members)
 
     def __call__(self, text: str) -> list[str]:
-        if not text.isascii():
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                return self.full.findall(text)
-        return self.small.findall(text)
+        return (self.small if in_latin1(text) else self.full).findall(text)
+
+
+def byte_symbols() -> dict[str, int]:
+    """The byte that each symbol of a byte-level vocabulary stands for: printable Latin-1 for itself, the rest from 256 on in order."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 class Bpe:
@@ -90,8 +143,7 @@ class Bpe:
         """A tokenizers file with byte-level symbols; a word-end suffix becomes 256 more on the last symbol."""
         model = json.load(open(path))["model"]
         end = model.get("end_of_word_suffix") or ""
-        plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-        as_byte = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
+        as_byte = byte_symbols()
 
         def symbols(s: str) -> str:
             ends = bool(end) and s.endswith(end)

@@ -3,7 +3,10 @@
 Bytes become Latin-1 characters, so pyahocorasick matches the whole vocabulary; encoding backtracks from the longest
 matches with memoised compatibility of adjacent tokens (see bpe.Bpe). Pieces are memoised too, within a bound.
 
-Null and empty texts have no tokens. Repeated rows each give a row. Columns other than the two named are not read.
+Texts are read a stretch at a time, cut where no piece goes on, so a long text needs no list of all its pieces.
+
+Null and empty texts have no tokens. Repeated rows and null keys each give a row; equal matches don't occur, as a vocabulary
+holds a string once. Empty tables give no rows. Columns other than the two named are not read, so they may have any name.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.bpe import Bpe, Pieces
-from weftgraph.llm.common import arrow_rows, table
+from weftgraph.llm.bpe import Bpe, Pieces, ranks_class, stretches
+from weftgraph.llm.common import portions, table
 
 #: Pieces a worker memoises at most; results don't depend on it.
 MEMO = 300_000
@@ -29,7 +32,7 @@ class Codec(dict):
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
-        self.bpe, self.pieces = Bpe.from_ranks(path), Pieces(pattern)
+        self.bpe, self.pieces = Bpe.from_ranks(path), Pieces(pattern, ranks_class)
         self.tokens = [b""] * (max(self.bpe.texts) + 1)
         for i, s in self.bpe.texts.items():
             self.tokens[i] = s.encode("latin-1")
@@ -43,7 +46,7 @@ class Codec(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.pieces(text)))
+        return b"".join(self[piece] for part in stretches(text) for piece in self.pieces(part))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -61,11 +64,9 @@ def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
 
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and ids, an array of the token ids of the whole text."""
-    arrow_rows(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in portions(batches, 1):
             ids = [np.frombuffer(c.encode(t or ""), "<u4").astype(np.int32) for t in b.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))], [key, "ids"])
@@ -76,8 +77,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
     """key and data, the bytes that the ids stand for (null ids: none)."""
-    arrow_rows(encoded.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
@@ -90,11 +89,9 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", key: str = "doc_id")
 
 def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_tokens, ids_sha256 and decoded_sha256: encode and decode in one pass, without sending ids through Spark."""
-    arrow_rows(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in portions(batches, 1):
             n, ids_sha, data_sha = [], [], []
             for t in b.column(1).to_pylist():
                 ids = c.encode(t or "")

@@ -3,13 +3,15 @@
 Of every prefix of a word the last token and the token count are kept (bpe.Bpe.prefix_counts); of a text, the running
 count at every word. Counts, truncation to a budget and budget questions are then look-ups, without encoding again.
 
-Null and empty texts have 0 tokens. Repeated rows each give a row. Columns other than the two named are not read.
+Texts are read a stretch at a time, cut where no word goes on.
+
+Null and empty texts have 0 tokens. Repeated rows and null keys each give a row. Empty tables give no rows. Columns other than
+the two named are not read, so they may have any name.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -17,9 +19,10 @@ from itertools import accumulate
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
-from weftgraph.llm.bpe import Bpe, Pieces
-from weftgraph.llm.common import arrow_rows, table
+from weftgraph.llm.bpe import Bpe, Pieces, in_latin1, json_class, stretches
+from weftgraph.llm.common import portions, table
 
 MEMO = 300_000
 LIMIT = 2048
@@ -39,7 +42,8 @@ class Counter(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.bpe, self.pieces = Bpe.from_json(path), Pieces(PATTERN)
+        self.bpe, self.pieces = Bpe.from_json(path), Pieces(PATTERN, json_class)
+        self.normal = Tokenizer.from_file(path).normalizer
 
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMO:
@@ -50,8 +54,8 @@ class Counter(dict):
         return out
 
     def words(self, text: str) -> list[str]:
-        """The words of a text without special strings, as the vocabulary normalises them (Σ never becomes a final sigma)."""
-        return self.pieces(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        """The words of a text without special strings, normalised by the library, which on Latin-1 only makes letters small."""
+        return self.pieces(text.lower() if in_latin1(text) else self.normal.normalize_str(text))
 
     def count(self, text: str) -> int:
         if "<|" in text:
@@ -59,7 +63,7 @@ class Counter(dict):
         return self._count(text)
 
     def _count(self, text: str) -> int:
-        return sum(map(self.__getitem__, self.words(text)))
+        return sum(self[word] for part in stretches(text) for word in self.words(part))
 
     def prefixes(self, text: str) -> tuple[list[str], list[int]]:
         """The words (special strings included) and the token count up to and with each of them."""
@@ -98,11 +102,9 @@ def counter(path: str) -> Counter:
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_bytes (UTF-8), n_tokens and over_limit of every whole text."""
-    arrow_rows(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for b in batches:
+        for b in portions(batches, 1):
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = [c.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -116,11 +118,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "te
 
 def truncated(docs: DataFrame, path: str, budget: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_words, kept_words and kept_tokens: the most leading words within the budget, read off the prefix counts."""
-    arrow_rows(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for b in batches:
+        for b in portions(batches, 1):
             rows = []
             for t in b.column(1).to_pylist():
                 words, counts = c.prefixes(t or "")
