@@ -3,17 +3,19 @@
 Documents are sets of word shingles under Jaccard distance. Equal sets are one class, so copies are never compared. The join
 over classes is exact and has three steps.
 
-1. Pivots and their regions. Among documents almost every distance is 1, so document pivots chosen blindly would replicate
-   everything. Instead a class's anchors are its rarest shingles, so many that two classes within the threshold share one
-   at least (any total order of shingles gives this; counts only make regions small). For each anchor the most central of
-   its classes is the pivot; all classes of the anchor enter the pivot's region, boundary classes several regions.
-   Inside a region a bitmap of each set bounds distances from below: sets differ in as many shingles as their bitmaps in
-   bits, or more. Regions fall apart into what can still link; only those classes' sets are read.
-2. A region of up to `region` classes is joined in one task: classes are ordered by distance to the pivot, and by the
-   triangle inequality only those whose distances to it differ by at most the threshold are compared.
-3. Larger regions are first cut into pairs of hash blocks, joined block against block by bitmaps (all pairs), and fall apart there.
-   Should one still be too large, it is split by pivots of its own: each class goes to its nearest pivot and to every pivot
-   within twice the threshold more. With the default region this hardly comes up, as a pair of blocks holds about two thirds of it.
+1. Regions. Among documents almost every distance is 1, so document pivots chosen blindly would replicate everything.
+   Instead a class's anchors are its rarest shingles, so many that two classes within the threshold share one at least (any
+   total order of shingles gives this; counts only make regions small). For each anchor the most central of its classes is the
+   pivot; all classes of the anchor enter the pivot's region, boundary classes several regions.
+2. Regions of over `region` classes are split by pivots of their own into Voronoi regions, level by level, on the cluster: a
+   class goes to its nearest pivot and, by the triangle inequality, to every pivot that is at most twice the threshold further.
+   Classes that link to a pivot are linked by it already: in its region they stay only where they are near enough to a class
+   that isn't, and a region of such classes alone is done. What pivots can't split is cut into pairs of hash blocks.
+3. A region that fits is joined in one task. A bitmap of each set bounds distances from below, as sets differ in as many
+   shingles as their bitmaps in bits, or more: regions fall apart into what can still link, and only those classes' sets are
+   read. The rest is split by pivots again, in memory, down to `small` classes, which are compared pair by pair; a Voronoi region
+   that holds nearly all of its parent is joined by windows: by order of distance to the pivot, those that differ in it by more
+   than the threshold can't link.
 
 Only links that join two parts of a region are kept; components come from large-star and small-star steps.
 
@@ -21,7 +23,9 @@ Shingle counts use a fixed-width table of counters: an estimate, which only deci
 fingerprint (128 bits are stored): among n classes two are taken for one with a chance below n^2 / 2^65.
 
 Null and empty texts, and texts without a word, have an empty set and no links: their component is themselves. Rows with a
-null key count in their class only. Repeated rows each give a row. Only the two named columns are read.
+null key count in their class only. Repeated rows each give a row; of rows that share a key and differ in text each has its own
+text's component. Ties of distance keep a class in all regions concerned. Empty tables give no rows. Only the two named columns
+are read, so others may have any name; one_of_each() keeps them all.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from weftgraph.llm.common import arrow_rows, skew_join, stored, table
+from weftgraph.llm.common import portions, released, skew_join, stored, table
 from weftgraph.operators.graph_iter import connected_components
 
 MEMO = 500_000
@@ -46,11 +50,15 @@ WIDTH, BLOCK = 24, 16
 @dataclass(frozen=True)
 class Join:
     """Sets of `words`-word shingles link when 100 * intersection >= percent * union. region: most classes joined in one task.
-    broadcast: most candidate keys that are broadcast to the scan; beyond it the scan is shuffled."""
+    small: most classes compared pair by pair without pivots. pivots: most pivots of a region a level. levels: most levels of
+    Voronoi regions on the cluster before hash blocks. broadcast: most candidate keys that are broadcast to the scan; beyond it
+    the scan is shuffled."""
 
     words: int = 4
     percent: int = 85
-    region: int = 1500
+    region: int = 1000
+    small: int = 64
+    pivots: int = 64
     broadcast: int = 1_000_000
     levels: int = 4
 
@@ -111,7 +119,7 @@ def classes(docs: DataFrame, join: Join, text: str, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, counts, kind = set(), np.zeros(1 << WIDTH, np.uint16), None
-        for b in batches:
+        for b in portions(batches, 1):
             kind, rows = b.column(0).type, []
             for t in b.column(1).to_pylist():
                 h = shingles(t, k)
@@ -199,7 +207,7 @@ def anchored(docs: DataFrame, counts: np.ndarray, join: Join, text: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, many = set(), shipped.value
-        for b in batches:
+        for b in portions(batches, 0):
             rows, anchors = [], []
             for t in b.column(0).to_pylist():
                 h = shingles(t, join.words)
@@ -217,18 +225,26 @@ def anchored(docs: DataFrame, counts: np.ndarray, join: Join, text: str) -> Data
     return docs.select(text).mapInArrow(run, "f1 long, n long, central double, bits binary, anchors array<long>")
 
 
+def near(df: DataFrame, join: Join) -> DataFrame:
+    """df to be broadcast, if it is counted to be small enough."""
+    return F.broadcast(df) if df.count() <= join.broadcast else df
+
+
 def sets_of(docs: DataFrame, keys: DataFrame, join: Join, text: str, key: str) -> DataFrame:
-    """(f1, h) of the documents with these keys."""
-    own = keys.select(F.col(key).alias("_key"))
-    chosen = docs.select(key, text).join(F.broadcast(own) if own.count() <= join.broadcast else own, F.col(key) == F.col("_key"), "left_semi")
+    """(f1, h) of the documents with these keys; a null among them stands for all documents without one."""
+    own = stored(keys.select(F.col(key).alias("_key")), "keys")
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    chosen = rows.join(near(own, join), F.col("_id") == F.col("_key"), "left_semi")
+    if not own.where("_key is null").isEmpty():
+        chosen = chosen.unionByName(rows.where("_id is null"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [shingles(t, join.words) for t in b.column(1).to_pylist()]
+        for b in portions(batches, 0):
+            own = [shingles(t, join.words) for t in b.column(0).to_pylist()]
             ends = np.cumsum([0, *map(len, own)])
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(h)[0] for h in own], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *own]).astype(np.int64)))], ["f1", "h"])
 
-    return chosen.mapInArrow(run, "f1 long, h array<long>")
+    return chosen.select("_text").mapInArrow(run, "f1 long, h array<long>")
 
 
 def shared(a: list[np.ndarray], b: list[np.ndarray], width: int) -> np.ndarray:
@@ -250,48 +266,91 @@ def shared(a: list[np.ndarray], b: list[np.ndarray], width: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def region_links(ids: list[int], sets: list[np.ndarray], pivot: int, join: Join, block: int = 256) -> list[tuple[int, int]]:
-    """Links that connect the region as all its links would. sets: sorted shingle hashes."""
-    n = len(ids)
-    flat, column = np.unique(np.concatenate(sets), return_inverse=True)
-    often = np.bincount(column, minlength=len(flat)) > 1
-    place = np.where(often, np.cumsum(often) - 1, -1)
-    sizes = np.array([len(s) for s in sets])
-    ends = np.cumsum(sizes)
-    own = [(c := place[column[e - k : e]])[c >= 0] for e, k in zip(ends, sizes, strict=True)]
-    width = int(often.sum())
-    both = shared([own[pivot]], own, width)[0]
-    distance = 1 - both / (sizes[pivot] + sizes - both)
-    order = np.argsort(distance, kind="stable")
-    root = list(range(n))
+class Region:
+    """Classes of one task, joined by Voronoi regions. links: those that connect the classes as all their links would."""
 
-    def find(x: int) -> int:
+    def __init__(self, ids: list[int], sets: list[np.ndarray], join: Join):
+        """sets: sorted shingle hashes."""
+        self.ids, self.join, self.links = ids, join, []
+        flat, column = np.unique(np.concatenate(sets), return_inverse=True)
+        often = np.bincount(column, minlength=len(flat)) > 1
+        place = np.where(often, np.cumsum(often) - 1, -1)
+        self.sizes = np.array([len(s) for s in sets])
+        self.own = [(c := place[column[e - k : e]])[c >= 0] for e, k in zip(np.cumsum(self.sizes), self.sizes, strict=True)]
+        self.width = int(often.sum())
+        self.root = list(range(len(ids)))
+
+    def find(self, x: int) -> int:
+        root = self.root
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    out = []
-
-    def join_two(x: int, y: int) -> None:
-        a, b = find(x), find(y)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((ids[x], ids[y]))
-
-    for x in np.flatnonzero(join.linked(both, sizes, sizes[pivot])):
-        join_two(pivot, int(x))
-    for i in range(0, n, block):
-        rows = order[i : i + block]
-        reach = distance[rows[-1]] + join.far + 1e-9
-        for j in range(i, n, block):
-            others = order[j : j + block]
-            if distance[others[0]] > reach:  # the triangle inequality: none of the rest can link
+    def link(self, xs: np.ndarray, ys: np.ndarray) -> None:
+        for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+            a, b = self.find(x), self.find(y)
+            if a != b:
+                self.root[max(a, b)] = min(a, b)
+                self.links.append((self.ids[x], self.ids[y]))
+
+    def compare(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """Links every x with every y where they do; distances."""
+        both = shared([self.own[x] for x in xs], [self.own[y] for y in ys], self.width)
+        a, b = self.sizes[xs][:, None], self.sizes[ys][None, :]
+        i, j = np.nonzero(self.join.linked(both, a, b))
+        self.link(xs[i], ys[j])
+        return 1 - both / (a + b - both)
+
+    def pivots(self, own: np.ndarray, first: int) -> np.ndarray:
+        """Distances of pivots to own: of the first, then always of the class that is furthest from those before."""
+        rows = [self.compare(np.array([first]), own)[0]]
+        for _ in range(min(8, len(own) // self.join.small) or 1):
+            least = np.min(rows, 0)
+            at = int(least.argmax())
+            if least[at] <= self.join.far:
                 break
-            found = join.linked(shared([own[x] for x in rows], [own[x] for x in others], width), sizes[rows][:, None], sizes[others][None, :])
-            for a, b in zip(*np.nonzero(found), strict=True):
-                if rows[a] != others[b]:
-                    join_two(int(rows[a]), int(others[b]))
-    return out
+            rows.append(self.compare(own[at : at + 1], own)[0])
+        return np.array(rows)
+
+    def voronoi(self, own: np.ndarray, first: int) -> None:
+        """All links among own, by regions of pivots and their regions in turn."""
+        todo = [(own, first)]
+        while todo:
+            own, first = todo.pop()
+            if len(own) <= self.join.small:
+                self.compare(own, own)
+                continue
+            distance = self.pivots(own, first)
+            nearest = distance.min(0)
+            inside = [unsettled(d, d <= nearest + 2 * self.join.far + 1e-9, self.join) for d in distance]
+            if max(map(np.sum, inside)) * 10 > len(own) * 9 or sum(map(np.sum, inside)) > 2 * len(own):
+                self.windows(own, distance[0])
+                continue
+            todo += [(own[x], int(own[x][d[x].argmin()])) for x, d in zip(inside, distance, strict=True) if x.any()]
+
+    def windows(self, own: np.ndarray, distance: np.ndarray, block: int = 256) -> None:
+        """All links among own, by windows of the distance to one pivot."""
+        order = np.argsort(distance, kind="stable")
+        own, distance = own[order], distance[order]
+        for i in range(0, len(own), block):
+            reach = distance[min(i + block, len(own)) - 1] + self.join.far + 1e-9
+            for j in range(i, len(own), block):
+                if distance[j] > reach:  # the triangle inequality: none of the rest can link
+                    break
+                self.compare(own[i : i + block], own[j : j + block])
+
+
+def unsettled(distance: np.ndarray, inside: np.ndarray, join: Join) -> np.ndarray:
+    """Which classes inside a pivot's region have links left to find: those that don't link to the pivot, and those near enough to one of them."""
+    loose = inside & (distance > join.far - 1e-9)
+    return inside & (distance >= distance[loose].min() - join.far - 1e-9) if loose.any() else loose
+
+
+def region_links(ids: list[int], sets: list[np.ndarray], pivot: int, join: Join) -> list[tuple[int, int]]:
+    """Links that connect the region as all its links would. pivot: the place of its first pivot."""
+    found = Region(ids, sets, join)
+    found.voronoi(np.arange(len(ids)), pivot)
+    return found.links
 
 
 def can_link(ids: list[int], sizes: list[int], bits: list[bytes], join: Join) -> dict[int, int]:
@@ -351,82 +410,119 @@ def joined_regions(members: DataFrame, sets: DataFrame, join: Join) -> DataFrame
 def dealt(members: DataFrame, join: Join) -> tuple[DataFrame, DataFrame | None]:
     """members in regions that fit, and the rest (None if there is none)."""
     large = members.groupBy("region").count().where(F.col("count") > join.region).select("region")
-    if not large.limit(1).count():
+    large = near(stored(large, "large"), join)
+    if large.isEmpty():
         return members, None
     return members.join(large, "region", "left_anti"), members.join(large, "region", "left_semi")
 
 
-def split(members: DataFrame, sets: DataFrame, join: Join, level: int) -> DataFrame:
-    """Large regions dealt to Voronoi regions of their own pivots, with every class within twice the threshold of a border."""
-    sized = members.groupBy("region").agg(F.count("*").alias("_n")).select("region", F.least(F.lit(64.0), 2 * F.col("_n") / join.region + 1).alias("_k"), "_n")
-    luck = F.pmod(F.xxhash64("f1", F.lit(level)), F.lit(1 << 30)) / float(1 << 30)
-    both = members.join(sized, "region")
-    pivots = both.where((luck < F.col("_k") / F.col("_n")) | (F.col("f1") == F.col("pivot"))).select("region", F.col("f1").alias("_p"))
+def split(members: DataFrame, sets: DataFrame, join: Join, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Large regions (stored) as Voronoi regions of their own pivots, with every class that a border may part from a link and without
+    those that its pivot links already; members of the regions that pivots can't tell apart, as they were; and the links to
+    pivots, (a, b). A region is of the second kind if one of its parts holds over nine tenths of it, or all together twice of it.
+
+    Pivots are the region's own and some by chance. A region's classes are dealt to parts of about 1,000, and its pivots go to each.
+    """
+    sized = members.groupBy("region").agg(F.count("*").alias("_n"), F.first("pivot").alias("_first"))
+    sized = stored(sized.select("region", "_first", "_n", F.least(F.lit(float(join.pivots)), 2 * F.col("_n") / join.region + 1).alias("_k"), F.ceil(F.col("_n") / 1000).cast("int").alias("_parts")), "sized")
+    luck = F.pmod(F.xxhash64("f1", "region", F.lit(level)), F.lit(1 << 30)) / float(1 << 30)
+    both = skew_join(members.select("region", "f1"), sized, "region", how="inner")
+    both = stored(both.withColumn("_part", F.pmod(F.xxhash64("f1", F.lit(7)), F.col("_parts")).cast("int")), "parted")
+    pivots = both.where((luck < F.col("_k") / F.col("_n")) | (F.col("f1") == F.col("_first"))).select("region", "_parts", F.col("f1").alias("_p"))
     pivots = pivots.join(sets.select(F.col("f1").alias("_p"), F.col("h").alias("_hp")), "_p")
+    pivots = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_p", "_hp")
     common = F.size(F.array_intersect("h", "_hp"))
-    distances = members.join(sets, "f1").join(pivots, "region").select("region", "f1", "_p", (1 - common / (F.size("h") + F.size("_hp") - common)).alias("_d"))
-    distances = stored(distances, "distances")
-    nearest = distances.groupBy("region", "f1").agg(F.min("_d").alias("_least"))
-    near = distances.join(nearest, ["region", "f1"]).where(F.col("_d") <= F.col("_least") + 2 * join.far + 1e-9)
-    return near.select(F.concat_ws("/", "region", F.col("_p").cast("string")).alias("region"), F.col("_p").alias("pivot"), "f1")
+    distances = both.select("region", "_part", "f1").join(sets, "f1").join(pivots, ["region", "_part"])
+    union = F.size("h") + F.size("_hp") - common
+    distances = stored(distances.select("region", "_part", "f1", "_p", (1 - common / union).alias("_d"), (100 * common >= join.percent * union).alias("_links")), "distances")
+    nearest = distances.groupBy("region", "_part", "f1").agg(F.min("_d").alias("_least"))
+    inside = stored(distances.join(nearest, ["region", "_part", "f1"]).where(F.col("_d") <= F.col("_least") + 2 * join.far + 1e-9), "inside")
+    loose = inside.where(~F.col("_links")).groupBy("region", "_p").agg(F.min("_d").alias("_loose"))
+    name = F.concat_ws("/", "region", F.col("_p").cast("string")).alias("_at")
+    left = skew_join(inside.select("region", name, "_p", "f1", "_d"), loose.select(name, "_loose"), "_at", how="inner").where(F.col("_d") >= F.col("_loose") - join.far - 1e-9)
+    left = stored(left.select(F.col("region").alias("_of"), F.col("_at").alias("region"), F.col("_p").alias("pivot"), "f1"), "voronoi")
+    held = left.groupBy("_of", "region").count().groupBy("_of").agg(F.max("count").alias("_most"), F.sum("count").alias("_all")).join(sized.select(F.col("region").alias("_of"), "_n"), "_of")
+    stuck = near(stored(held.where("_most * 10 > _n * 9 or _all > 2 * _n").select("_of"), "stuck"), join)
+    parts = left.join(stuck, "_of", "left_anti").select("region", "pivot", "f1")
+    return parts, members.join(stuck.withColumnRenamed("_of", "region"), "region", "left_semi"), distances.where("_links and f1 <> _p").select(F.col("f1").alias("a"), F.col("_p").alias("b"))
 
 
 def blocks(members: DataFrame, join: Join) -> DataFrame:
-    """Regions that pivots did not split, as pairs of hash blocks: every two classes meet in one of them."""
+    """Regions that pivots can't split, as pairs of hash blocks: every two classes meet in one of them."""
     half = max(1, join.region // 3)
     sized = members.groupBy("region").agg(F.ceil(F.count("*") / half).cast("int").alias("_b"))
-    own = members.join(sized, "region").withColumn("_i", F.pmod(F.xxhash64("f1", F.lit(99)), F.col("_b")).cast("int"))
+    own = skew_join(members, sized, "region", how="inner").withColumn("_i", F.pmod(F.xxhash64("f1", F.lit(99)), F.col("_b")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_j")
     pairs = own.select("region", "pivot", "f1", "_i", other)
     return pairs.select(F.concat_ws("/", "region", F.least("_i", "_j").cast("string"), F.greatest("_i", "_j").cast("string")).alias("region"), "pivot", "f1")
 
 
-def class_links(docs: DataFrame, parts: DataFrame, join: Join, text: str, key: str) -> DataFrame:
-    """(a, b) links between classes; their components are those of all links."""
-    entries = stored(anchored(docs, total_counts(parts), join, text), "anchors")
-    each = entries.select("f1", F.explode("anchors").alias("anchor"))
+def voronoi_regions(members: DataFrame, sets_for, join: Join) -> tuple[DataFrame, list[DataFrame]]:
+    """members in regions that fit, and the links that their splits have found. sets_for: (f1, h), stored, of members."""
+    fit, rest = dealt(members, join)
+    done, links = [fit], []
+    if rest is not None:
+        rest = stored(rest, "large-regions")
+        sets = sets_for(rest)
+        for level in range(join.levels):
+            parts, stuck, more = split(rest, sets, join, level)
+            links.append(more)
+            done.append(blocks(stored(stuck, "stuck-regions"), join))
+            fit, rest = dealt(stored(parts, "split"), join)
+            done.append(fit)
+            if rest is None:
+                break
+            rest = stored(rest, "large-regions")
+        else:
+            done.append(blocks(rest, join))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out, links
+
+
+def class_links(docs: DataFrame, parts: DataFrame, firsts: DataFrame, join: Join, text: str, key: str) -> DataFrame:
+    """(a, b) links between classes; their components are those of all links. firsts: (f1, _min), a class's smallest key."""
+    anchors = stored(anchored(docs, total_counts(parts), join, text), "anchors")
+    each = anchors.select("f1", F.explode("anchors").alias("anchor"))
     short = F.shiftrightunsigned("f1", 16)
     met = each.groupBy("anchor").agg(F.min(short).alias("_a"), F.max(short).alias("_b")).where("_a < _b").select("anchor")
-    own = stored(each.join(met, "anchor", "left_semi"), "met").distinct()
-    entries = entries.join(own.select("f1").distinct(), "f1", "left_semi").dropDuplicates(["f1"]).drop("anchors")
-    entries = stored(entries, "met-classes")
+    shared_anchors = stored(each.join(met, "anchor", "left_semi"), "met")
+    own = shared_anchors.distinct()
+    entries = stored(anchors.join(own.select("f1").distinct(), "f1", "left_semi").dropDuplicates(["f1"]).drop("anchors"), "met-classes")
+    released(anchors)
     pivots = own.join(entries.select("f1", "central"), "f1").groupBy("anchor").agg(F.max_by("f1", F.struct("central", "f1")).alias("pivot"))
     members = stored(own.join(pivots, "anchor").select(F.col("pivot").cast("string").alias("region"), "pivot", "f1").distinct(), "regions")
-    fit, rest = dealt(members, join)
-    members = fit if rest is None else fit.unionByName(blocks(rest, join))
-    members = stored(linkable(members, entries, join), "linkable")
-    keys = parts.where("block is null and n > 0").groupBy("f1").agg(F.min(key).alias(key)).join(members.select("f1").distinct(), "f1", "left_semi").select(key)
-    sets = stored(sets_of(docs, keys, join, text, key), "sets")
-    done = []
-    for level in range(join.levels):
-        fit, members = dealt(members, join)
-        done.append(fit)
-        if members is None:
-            break
-        members = stored(split(members, sets.dropDuplicates(["f1"]), join, level), "split")
-    else:
-        fit, members = dealt(members, join)
-        done += [fit] if members is None else [fit, blocks(members, join)]
-    out = done[0]
-    for more in done[1:]:
+    released(shared_anchors)
+
+    def sets_for(some: DataFrame) -> DataFrame:
+        keys = firsts.join(some.select("f1").distinct(), "f1", "left_semi").select(F.col("_min").alias(key))
+        return stored(sets_of(docs, keys, join, text, key).dropDuplicates(["f1"]), "sets")
+
+    regions, links = voronoi_regions(members, sets_for, join)
+    left = stored(linkable(regions, entries, join), "linkable")
+    released(entries)
+    out = joined_regions(left, sets_for(left), join)
+    for more in links:
         out = out.unionByName(more)
-    return stored(joined_regions(out, sets, join), "links")
+    return stored(out.distinct(), "links")
 
 
 def jaccard_components(docs: DataFrame, join: Join = Join(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles and component_id, the smallest key reachable by links, of every document."""
-    arrow_rows(docs.sparkSession)
-    parts = stored(classes(docs, join, text, key), "classes")
-    labels = stored(connected_components(class_links(docs, parts, join, text, key)), "labels")
-    rows = parts.where("block is null").select(key, "n", "f1")
-    own = rows.where("n > 0").groupBy("f1").agg(F.min(key).alias("_min"))
-    named = own.join(labels, F.col("f1") == F.col("id"), "left").select("f1", "_min", F.coalesce("label", "f1").alias("label"))
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    parts = stored(classes(rows, join, "_text", "_id"), "classes")
+    rows_of = parts.where("block is null").select("_id", "n", "f1")
+    firsts = stored(rows_of.where("n > 0").groupBy("f1").agg(F.min("_id").alias("_min")), "firsts")
+    labels = stored(connected_components(class_links(rows, parts, firsts, join, "_text", "_id")), "labels")
+    named = firsts.join(labels, F.col("f1") == F.col("id"), "left").select("f1", "_min", F.coalesce("label", "f1").alias("label"))
     named = stored(named, "named")
     linked = named.join(labels.select(F.col("label")).distinct(), "label", "left_semi")
     least = linked.groupBy("label").agg(F.min("_min").alias("_all"))
     found = stored(named.join(least, "label", "left").select("f1", F.coalesce("_all", "_min").alias("component_id")), "components")
-    full = skew_join(rows.where("n > 0"), found, "f1").select(key, F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(rows.where("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id")))
+    full = skew_join(rows_of.where("n > 0"), found, "f1").select("_id", F.col("n").alias("n_shingles"), "component_id")
+    out = full.unionByName(rows_of.where("n = 0").select("_id", F.col("n").alias("n_shingles"), F.col("_id").alias("component_id")))
+    return out.withColumnRenamed("_id", key)
 
 
 def one_of_each(docs: DataFrame, join: Join, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -436,19 +532,18 @@ def one_of_each(docs: DataFrame, join: Join, text: str = "text", key: str = "doc
     text is judged by its own links only. Rows with a null key stay and come after all others.
     What goes is usually little: its keys are broadcast if they are few enough, else shuffled.
     """
-    unclear = docs.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull())
-    repeats = bool(unclear.limit(1).count())
-    name = "_row" if repeats else key
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(key).alias("_id"), F.col(text).alias("_text"))
+    unclear = rows.groupBy("_id").count().where((F.col("count") > 1) | F.col("_id").isNull())
+    repeats = not unclear.isEmpty()
+    if repeats:
+        rows = rows.withColumn("_id", F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("key"), F.xxhash64("_text").alias("text")))
+    found = stored(jaccard_components(rows, join, "_text", "_id"), "found")
+    gone = found.where("_id <> component_id and not _id.none" if repeats else "_id <> component_id").select(F.col("_id").alias("_key")).distinct()
+    rest = rows.join(near(stored(gone, "gone"), join), F.col("_id") == F.col("_key"), "left_anti")
     if repeats:
-        docs = docs.withColumn(name, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("text")))
-    found = stored(jaccard_components(docs, join, text, name).select(F.col(name).alias("_key"), "component_id"), "found")
-    gone = found.where("_key <> component_id and not _key.none" if repeats else "_key <> component_id").select("_key").distinct()
-    near = F.broadcast(gone) if gone.count() <= join.broadcast else gone
-    rest = docs.join(near, docs[name] == F.col("_key"), "left_anti")
-    if not repeats:
-        return rest
-    nameless = F.col(key).isNull()
-    return rest.where(~nameless).dropDuplicates([name]).unionByName(rest.where(nameless)).drop(name)
+        nameless = F.col("_id.none")
+        rest = rest.where(~nameless).dropDuplicates(["_id"]).unionByName(rest.where(nameless))
+    return rest.select("_row.*")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
