@@ -5,12 +5,14 @@ The reduction fixes sets that provably dominate every other set holding their la
 single partner where no two fit; the best two where no three fit), shrinks the counts and repeats; best fit by falling
 length packs what remains. Sequences are runs of equal patterns; pieces take their places by their rank within a length.
 
-Null and empty texts are the end token alone. Repeated rows are packed each. Empty tables give no rows.
+Null and empty texts are the end token alone. Repeated rows are packed each; pieces of one length are alike, so ties among them
+go by a hash of key, place and ids, and rows that agree in all of it take each other's places. Null keys are ordinary. Empty
+tables give no rows. Only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -22,11 +24,12 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_rows, ranked, stored, table
+from weftgraph.llm.bpe import byte_symbols
+from weftgraph.llm.common import portions, ranked, stored, table
 
 CAPACITY = 2048
-#: Fixed values of the vocabulary: its special string and id, and the id that ends a document.
-SPECIAL, END = {"<|endoftext|>": 50256}, 0
+#: Fixed by the contract: the id that ends a document.
+END = 0
 
 #: A pattern: (length, copies) runs, and how many sequences have it.
 Pattern = tuple[tuple[tuple[int, int], ...], int]
@@ -35,10 +38,18 @@ _ENCODINGS: dict[str, tiktoken.Encoding] = {}
 
 
 def encoding(path: str) -> tiktoken.Encoding:
-    """The ranks of the vocabulary; the special string inside a text is its id, as the tokenizers library has it."""
+    """A byte-level tokenizers file as ranks, which are its ids: merges make ids in order. A special string inside a text is its id."""
     if path not in _ENCODINGS:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
-        _ENCODINGS[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        vocab = {s: i for s, i in spec["model"]["vocab"].items() if s not in special}
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+        if made != sorted(made):
+            raise ValueError("the vocabulary's ids don't follow its merges")
+        as_byte = byte_symbols()
+        ranks = {bytes(as_byte[c] for c in s): i for s, i in vocab.items()}
+        _ENCODINGS[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODINGS[path]
 
 
@@ -50,11 +61,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, piece, start, length and ids_crc32 of every piece of every whole text."""
-    arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoding(path)
-        for b in batches:
+        for b in portions(batches, 1):
             rows, out = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 ids = np.append(e.encode_to_numpy(t or "", allowed_special="all"), END).astype("<u4")
@@ -201,7 +211,6 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> D
     numbered = ranked(spread, "length", "_spread", sum(counts.values()), "_rank").drop("_spread")
     names = numbered.columns
     at_length, at_rank = names.index("length"), names.index("_rank")
-    arrow_rows(spark, 10_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = plan.value
@@ -222,4 +231,4 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> D
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return packed(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
