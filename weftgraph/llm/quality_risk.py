@@ -7,7 +7,8 @@ correction among the cutoffs of one rule; over rules and strata the error rate d
 with too few labels gets no cutoff: its documents are only held to the base rules.
 
 Null texts count as empty: no words, base_failed. Null strata form one stratum. Repeated rows each give a row and each
-count in the holdout; a document with several labels is good if all are. Empty tables give no rows.
+count in the holdout; a document with several labels is good if all are. A measure equal to a cutoff is not over it. Null keys
+match no label. Empty tables give no rows, and without labels there are no cutoffs. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import stored, table
+from weftgraph.llm.common import skew_join, stored, table
 
 #: Fixed by the contract: what separates words, and the symbols that are counted.
 BLANK, SYMBOLS = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
@@ -46,11 +47,11 @@ RULES = (
 @dataclass(frozen=True)
 class Risk:
     """alpha: most of a stratum's good documents that all rules together may reject. delta: chance that this fails anywhere.
-    max_strata: strata by number of documents that are judged alone; the rest are pooled."""
+    broadcast: most strata whose cutoffs are broadcast; beyond it they are joined by a shuffle."""
 
     alpha: float = 0.02
     delta: float = 0.05
-    max_strata: int = 256
+    broadcast: int = 10_000
     rules: tuple[Rule, ...] = field(default=RULES)
 
 
@@ -111,7 +112,7 @@ def base_failed() -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: Risk = Risk(), key: str = "doc_id") -> dict[str, dict[str, float]]:
-    """Accepted cutoffs by stratum and rule. Sent to the driver: one row of counts a stratum, at most max_strata + 1 rows.
+    """Accepted cutoffs by stratum and rule. Sent to the driver: one row of counts for each stratum that has labels.
 
     measured: features() with the key as _id and a column stratum that holds no nulls.
     """
@@ -133,15 +134,20 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: Risk = R
 
 def judging(measured: DataFrame, labels: DataFrame, risk: Risk, key: str) -> Callable[[DataFrame], DataFrame]:
     """A function that adds base_failed and kept to features(); learned from stored features with _id and _stratum."""
-    top = [r[0] for r in measured.where("_stratum is not null").groupBy("_stratum").count().orderBy(F.desc("count"), "_stratum").limit(risk.max_strata).collect()]
-    name = F.when(F.col("_stratum").isin(top), F.concat(F.lit("="), F.col("_stratum").cast("string"))).otherwise("other")
+    name = F.coalesce(F.concat(F.lit("="), F.col("_stratum").cast("string")), F.lit("null"))
     found = cutoffs(measured.withColumn("_s", name), labels, "_s", risk, key)
+    spark = measured.sparkSession
+    cut = "map<string,double>"
+    if len(found) <= risk.broadcast:
+        literal = F.create_map(*(x for s, c in sorted(found.items()) for x in (F.lit(s), F.create_map(*(F.lit(y) for kv in sorted(c.items()) for y in kv)))))
+        cuts = lambda df: df.withColumn("_cuts", F.element_at(literal, name) if found else F.lit(None).cast(cut))
+    else:
+        side = spark.createDataFrame(sorted(found.items()), f"_s string, _cuts {cut}")
+        cuts = lambda df: skew_join(stored(df.withColumn("_s", name), "strata"), side, "_s").drop("_s")
     rejected = F.lit(False)
     for rule in risk.rules:
-        cuts = [F.lit(x) for s, c in sorted(found.items()) if rule.name in c for x in (s, c[rule.name])]
-        if cuts:
-            rejected = rejected | F.coalesce(F.expr(rule.measure) > F.element_at(F.create_map(*cuts), name), F.lit(False))
-    return lambda df: df.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
+        rejected = rejected | F.coalesce(F.expr(rule.measure) > F.element_at("_cuts", rule.name), F.lit(False))
+    return lambda df: cuts(df).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_cuts")
 
 
 def measured_rows(docs: DataFrame, stratum: str, key: str, text: str, rows: bool = False) -> DataFrame:
