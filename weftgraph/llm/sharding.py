@@ -3,11 +3,13 @@
 Documents that share a link key are linked; labels are shards. In each round a join gives every linked document the votes of
 its links' members by shard, and it asks to move to the shard with most of them. Flows between shards are then cut on the
 driver (a matrix of number x number counts) until no shard takes in more than its free quota and what leaves it, and each
-flow accepts that share of its documents, whole links where they are small. Rounds end when none moves. Documents without
-links have no preference: they fill the shards to the quotas exactly, as do those beyond a quota.
+flow accepts that share of its documents, whole links where they are small. Rounds end when no document may move, or when
+the number of linked pairs within shards has not grown for `patience` rounds; the best round counts. Documents without links
+have no preference: they fill the shards to the quotas exactly, as do those beyond a quota.
 
-Null texts count as empty: 16 bytes, one group. Null keys are ordinary rows. Repeated rows are placed each. An empty table
-gives no rows. With fewer rows than shards, the first shards hold one each. Only the named columns are read.
+Null texts count as empty: 16 bytes, one group. Null keys are ordinary rows. Repeated rows are placed each; equally good shards
+of a link go by a hash of link and shard, alike for all its members. An empty table gives no rows. With fewer rows than
+shards, the first shards hold one each. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import ranked, skew_join, stored, table
+from weftgraph.operators.ranking import indexed
 
 
 @dataclass(frozen=True)
 class Shards:
-    """rounds: most rounds (a link larger than a shard needs about one for each shard that it fills)."""
+    """patience: rounds without a gain after which propagation ends."""
 
     number: int = 40
-    rounds: int = 20
+    patience: int = 3
     seed: int = 17
 
 
@@ -63,10 +66,15 @@ def allowed(asks: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int
 
 
 def votes(state: DataFrame, links: DataFrame, number: int) -> DataFrame:
-    """(link, score, most): a link's members by shard as a vector; a fraction that hangs on link and shard breaks ties alike for all members."""
+    """(link, s0, s1 ..): a link's members by shard; a fraction that hangs on link and shard breaks ties alike for all members."""
     count = links.join(state, "id").groupBy("link").pivot("shard", list(range(number))).count()
-    score = F.array(*(F.coalesce(F.col(str(s)), F.lit(0)) + unit("link", F.lit(s)) / 2 for s in range(number)))
-    return count.select("link", score.alias("score"))
+    return count.select("link", *((F.coalesce(F.col(str(s)), F.lit(0)) + unit("link", F.lit(s)) / 2).alias(f"s{s}") for s in range(number)))
+
+
+def inner_pairs(score: DataFrame, number: int) -> float:
+    """Linked pairs within shards, by votes()."""
+    held = [F.floor(f"s{s}").cast("double") for s in range(number)]
+    return score.agg(F.sum(sum((n * (n - 1) / 2 for n in held), F.lit(0.0)))).first()[0] or 0.0
 
 
 def propagated(ids: DataFrame, links: DataFrame, quota: list[int], plan: Shards) -> DataFrame:
@@ -77,12 +85,20 @@ def propagated(ids: DataFrame, links: DataFrame, quota: list[int], plan: Shards)
     number = plan.number
     state = stored(ids.select("id", F.pmod(F.xxhash64("id", F.lit(plan.seed)), F.lit(number)).cast("int").alias("shard")), "labels")
     rows = links.count()
-    for turn in range(plan.rounds):
+    best, most, waits, turn = state, -1.0, 0, 0
+    while True:
         held = {r["shard"]: r["count"] for r in state.groupBy("shard").count().collect()}
         room = [q - held.get(s, 0) for s, q in enumerate(quota)]
         score = stored(votes(state, links, number), "votes")
-        heard = skew_join(links, score, "link", rows, "inner").groupBy("id").agg(F.collect_list("score").alias("_each"), F.min("link").alias("_link"))
-        total = F.aggregate("_each", F.array_repeat(F.lit(0.0), number), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+        inner = inner_pairs(score, number)
+        waits = 0 if inner > most else waits + 1
+        if inner > most:
+            best, most = state, inner
+        if waits >= plan.patience:
+            return best
+        # sums a shard, so that a document's links aren't gathered
+        heard = skew_join(links, score, "link", rows, "inner").groupBy("id").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(number)), F.min("link").alias("_link"))
+        total = F.array(*(f"s{s}" for s in range(number)))
         # a full shard attracts nobody: others look for the best one with room, and leave a full one for as many votes
         # large links pass by shards that are nearly full, or they would fill the rest of one by ever smaller flows
         any_room, much_room = (F.array(*(F.lit(1.0 if r > least(q) else 0.0) for r, q in zip(room, quota, strict=True))) for least in (lambda q: 0, spare))
@@ -96,13 +112,13 @@ def propagated(ids: DataFrame, links: DataFrame, quota: list[int], plan: Shards)
         moves = stored(asks.where((F.col("_best") > F.col("_now")) & (F.col("_to") != F.col("_from")) & (F.col("_best") >= 1)), "moves")
         flow = {(r["_from"], r["_to"]): r["count"] for r in moves.groupBy("_from", "_to").count().collect()}
         shares = allowed(flow, room)
-        if sum(flow[k] * s for k, s in shares.items()) < max(1, rows // 10_000):
-            break
+        if sum(flow[k] * s for k, s in shares.items()) < 1:
+            return best
         luck = F.when(F.col("_best") * 8 < max(quota), unit("_link", F.lit(turn))).otherwise(unit("id", F.lit(turn)))
         share = F.element_at(F.create_map(*(F.lit(x) for (a, b), s in sorted(shares.items()) for x in (a * number + b, s))), F.col("_from") * number + F.col("_to"))
         accepted = moves.where(luck < share).select("id", "_to")
         state = stored(state.join(accepted, "id", "left").select("id", F.coalesce("_to", "shard").alias("shard")), "labels")
-    return state
+        turn += 1
 
 
 def balanced_shards(rows: DataFrame, links: DataFrame, total: int, plan: Shards = Shards(), group: str | None = None) -> DataFrame:
@@ -128,17 +144,18 @@ def balanced_shards(rows: DataFrame, links: DataFrame, total: int, plan: Shards
     held = {r["shard"]: r["count"] for r in settled.where(F.col("slot") < limit).groupBy("shard").count().collect()}
     free = [q - held.get(s, 0) for s, q in enumerate(quota)]
     begins = [sum(free[:s]) for s in range(plan.number)]
-    # rows over a quota come first, links together, then those without a link
-    over = stored(settled.where(F.col("slot") >= limit).drop("slot", "shard").withColumn("_all", F.lit(0)), "over")
+    # rows over a quota come first, links together (sorted by ranges, so that no task holds a link), then those without a link
+    over = settled.where(F.col("slot") >= limit).drop("slot", "shard")
     loose = placed.where("shard is null").drop("shard").withColumn("_all", F.lit(0))
+    over = indexed(over, "_spread", "id", out="_k")
     beyond = over.count()
-    pool = ranked(over, "_all", "_spread", beyond, "_k").unionByName(ranked(loose, "_all", "id", total, "_k").withColumn("_k", F.col("_k") + beyond))
+    pool = over.unionByName(ranked(loose, "_all", "id", total, "_k").drop("_all").withColumn("_k", F.col("_k") + beyond))
     # the last shard that begins at or before k and has room
     shard = F.size(F.filter(F.array(*map(F.lit, (b for b, f in zip(begins, free, strict=True) if f))), lambda b: b <= F.col("_k")))
     with_room = [s for s, f in enumerate(free) if f] or [0]
     pool = pool.withColumn("shard", F.element_at(F.array(*map(F.lit, with_room)), shard).cast("int"))
     slot = F.col("_k") - F.element_at(F.array(*map(F.lit, begins)), F.col("shard") + 1) + F.element_at(F.array(*(F.lit(held.get(s, 0)) for s in range(plan.number))), F.col("shard") + 1)
-    pool = pool.withColumn("slot", slot.cast("long")).drop("_k", "_all")
+    pool = pool.withColumn("slot", slot.cast("long")).drop("_k")
     return settled.where(F.col("slot") < limit).unionByName(pool.select(settled.columns)).drop("_spread")
 
 
