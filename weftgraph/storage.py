@@ -20,6 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
+def released(df: DataFrame) -> None:
+    """Deletes the files of a stored table. Everything that is read from it must have been stored already."""
+    spark = df.sparkSession
+    held = shared_dir(spark)
+    for file in df.inputFiles():
+        folder = file.rsplit("/", 1)[0]
+        if f"{held.rsplit(':', 1)[-1].lstrip('/')}/" in folder:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            return
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
