@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-#: Graphs of so many edges or fewer may be solved by one pass on the driver, as a round of distributed steps costs more than that.
+#: Graphs of so many edges or fewer may be solved by one pass in one task, as a round of distributed steps costs more than that.
 LOCAL_EDGES = 200_000
 
 
@@ -32,11 +32,11 @@ class Model:
 
 @dataclass(frozen=True)
 class Clustering:
-    """threshold: pairs above it are similar. cuts: thresholds of the profile. block: vectors multiplied together."""
+    """threshold: pairs above it are similar. cuts: thresholds of the profile. block: most vectors of a block; every two blocks meet in a task."""
 
     threshold: float = 0.9
     cuts: tuple[float, ...] = (0.95, 0.9, 0.85, 0.8, 0.75)
-    block: int = 2048
+    block: int = 16_384
 
 
 @dataclass(frozen=True)

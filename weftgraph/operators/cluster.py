@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.config import LOCAL_EDGES, Clustering
+from weftgraph.functions.text import description_of
 from weftgraph.operators.graph_iter import connected_components
 from weftgraph.operators.ranking import indexed
 
@@ -21,49 +22,70 @@ def normalized(df: DataFrame, vector: str = "vec") -> DataFrame:
     return df.withColumn(vector, F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v))
 
 
+#: Rows of one product at a time, which bounds a task's memory beside its two blocks.
+STRIP = 1024
+
+
+def dealt_blocks(df: DataFrame, key: str, vector: str, block: int) -> tuple[DataFrame, int]:
+    """(id, vec, _b, _t): vectors of length one, dealt to blocks of at most about `block` rows, once for each task (two blocks) that
+    they meet in; and the number of blocks. Few vectors still give a few tasks."""
+    kept = df.where(F.col(vector).isNotNull())
+    rows = kept.count()
+    blocks = max(1, -(-rows // block), min(4, -(-rows // 256)))
+    own = normalized(kept.select(F.col(key).alias("id"), F.col(vector).alias("vec"))).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = own.select("id", "vec", "_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o"))
+    return dealt.withColumn("_t", F.least("_b", "_o") * blocks + F.greatest("_b", "_o")).drop("_o"), blocks
+
+
+def strips(t: pa.Table, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a task's two blocks: places of some rows, places of others, and their cosines; each two rows once, a row never with itself."""
+    task, side = int(t.column("_t")[0].as_py()), np.array(t.column("_b"))
+    low, high = divmod(task, blocks)
+    v = np.stack([np.asarray(x.values) for x in t.column("vec")])
+    i, j = np.flatnonzero(side == low), np.flatnonzero(side == high)
+    for at in range(0, len(i), STRIP):
+        own = i[at : at + STRIP]
+        sims = v[own] @ v[j].T
+        if low == high:
+            sims[np.arange(len(own))[:, None] + at >= np.arange(len(j))[None, :]] = -2.0
+        yield own, j, sims
+
+
 def similar_pairs(df: DataFrame, least: float, key: str = "id", vector: str = "vec", block: int = Clustering.block) -> DataFrame:
     """(a, b, sim), a < b, of vectors whose cosine is over least.
 
-    Vectors are dealt to blocks of about `block` rows and every two blocks meet in one task, which multiplies them as
-    matrices. With n vectors that is n ** 2 / (2 * block ** 2) tasks of two blocks each; no pair below the threshold leaves one.
+    Vectors are dealt to blocks and every two blocks meet in one task, which multiplies them strip by strip: a vector is copied
+    once for each block, n / block times, and no pair below the threshold leaves a task.
     """
-    rows = df.where(F.col(vector).isNotNull()).count()
-    blocks = max(1, -(-rows // block))
-    own = normalized(df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("vec"))).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    dealt = own.select("id", "vec", "_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o"))
-    task = F.least("_b", "_o") * blocks + F.greatest("_b", "_o")
+    dealt, blocks = dealt_blocks(df, key, vector, block)
     kind = dict(df.dtypes)[key]
 
     def products(t: pa.Table) -> pa.Table:
         ids = np.array(t.column("id").to_pylist(), object)
-        side, low, high = np.array(t.column("_b")), int(t.column("_t")[0].as_py()) // blocks, int(t.column("_t")[0].as_py()) % blocks
-        v = np.stack([np.asarray(x.values) for x in t.column("vec")])
-        i, j = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        sims = v[i] @ v[j].T
-        x, y = np.nonzero(sims > least)
-        a, b, s = ids[i[x]], ids[j[y]], sims[x, y]
-        keep = a < b if low == high else np.ones(len(a), bool)
-        first, second = np.where(a < b, a, b)[keep], np.where(a < b, b, a)[keep]
-        return pa.table({"a": pa.array(first.tolist(), t.schema.field("id").type), "b": pa.array(second.tolist(), t.schema.field("id").type), "sim": s[keep]})
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(ids[:0], ids[:0], np.empty(0))]
+        for own, others, sims in strips(t, blocks):
+            x, y = np.nonzero(sims > least)
+            a, b = ids[own[x]], ids[others[y]]
+            out.append((np.where(a < b, a, b), np.where(a < b, b, a), sims[x, y]))
+        a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
+        names = t.schema.field("id").type
+        return pa.table({"a": pa.array(a.tolist(), names), "b": pa.array(b.tolist(), names), "sim": s})
 
-    return dealt.withColumn("_t", task).groupBy("_t").applyInArrow(products, f"a {kind}, b {kind}, sim double")
+    return dealt.groupBy("_t").applyInArrow(products, f"a {kind}, b {kind}, sim double")
 
 
 def similarity_profile(df: DataFrame, cuts: tuple[float, ...] = Clustering.cuts, key: str = "id", vector: str = "vec", block: int = Clustering.block) -> DataFrame:
     """One row over all pairs with a positive cosine: count, mean, population deviation, least, greatest, and how many are over
     each cut. Tasks return sums, not pairs."""
-    rows = df.where(F.col(vector).isNotNull()).count()
-    blocks = max(1, -(-rows // block))
-    own = normalized(df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("vec"))).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    dealt = own.select("vec", "_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")).withColumn("_t", F.least("_b", "_o") * blocks + F.greatest("_b", "_o"))
+    dealt, blocks = dealt_blocks(df, key, vector, block)
+    kinds = pa.schema([("n", pa.int64()), ("s", pa.float64()), ("q", pa.float64()), ("lo", pa.float64()), ("hi", pa.float64()), ("over", pa.list_(pa.int64()))])
 
     def sums(t: pa.Table) -> pa.Table:
-        side, low, high = np.array(t.column("_b")), int(t.column("_t")[0].as_py()) // blocks, int(t.column("_t")[0].as_py()) % blocks
-        v = np.stack([np.asarray(x.values) for x in t.column("vec")])
-        sims = v[side == low] @ v[side == high].T
-        x = sims[np.triu_indices(len(sims), 1)] if low == high else sims.ravel()
-        x = x[x > 0]
-        return pa.table({"n": [len(x)], "s": [float(x.sum())], "q": [float((x * x).sum())], "lo": [float(x.min())] if len(x) else [None], "hi": [float(x.max())] if len(x) else [None], "over": [[int((x > c).sum()) for c in cuts]]}, schema=pa.schema([("n", pa.int64()), ("s", pa.float64()), ("q", pa.float64()), ("lo", pa.float64()), ("hi", pa.float64()), ("over", pa.list_(pa.int64()))]))
+        rows = []
+        for _, _, sims in strips(t, blocks):
+            x = sims[sims > 0]
+            rows.append({"n": len(x), "s": float(x.sum()), "q": float((x * x).sum()), "lo": float(x.min()) if len(x) else None, "hi": float(x.max()) if len(x) else None, "over": [int((x > c).sum()) for c in cuts]})
+        return pa.Table.from_pylist(rows, kinds)
 
     each = dealt.groupBy("_t").applyInArrow(sums, "n long, s double, q double, lo double, hi double, over array<long>")
     n = F.sum("n")
@@ -83,11 +105,13 @@ def clusters(pairs: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
 
 
 def cluster_records(found: DataFrame, names: DataFrame) -> DataFrame:
-    """(main_index, main_name, indices, members): a record for each cluster; names: (id, name)."""
-    named = found.join(names, "id")
-    ordered = F.sort_array(F.collect_list(F.struct("id", "name")))
+    """(main_index, main_name, main_description, indices, members, descriptions): a record for each cluster; names: (id, name). A
+    description is what follows ` - ` in a name, empty if nothing does."""
+    named = found.join(names, "id").withColumn("_d", description_of(F.col("name")))
+    ordered = F.sort_array(F.collect_list(F.struct("id", "name", "_d")))
     return named.groupBy(F.col("cluster").alias("main_index")).agg(ordered.alias("_m")).select(
-        "main_index", F.col("_m")[0]["name"].alias("main_name"), F.col("_m.id").alias("indices"), F.col("_m.name").alias("members")
+        "main_index", F.col("_m")[0]["name"].alias("main_name"), F.col("_m")[0]["_d"].alias("main_description"),
+        F.col("_m.id").alias("indices"), F.col("_m.name").alias("members"), F.col("_m._d").alias("descriptions"),
     )
 
 

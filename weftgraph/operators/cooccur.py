@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.meet import met
 from weftgraph.operators.ranking import at_shares
+from weftgraph.storage import stored
 
 
 def initial(groups: DataFrame, group: str, name: str) -> DataFrame:
     """(u, v, w), u <= v: how many pairs of places of a group hold the two names, over all groups.
 
     A name m times in a group meets another n times m * n times, and itself m * (m - 1) / 2 times; so rows are counted by
-    (group, name) before the pairs are made.
+    (group, name) before the pairs are made. Large groups are dealt to many tasks.
     """
     rows = groups.where(F.col(group).isNotNull() & F.col(name).isNotNull()).select(F.col(group).alias("g"), F.col(name).alias("x"))
-    # one exchange by group serves the counts and both sides of the join
-    counts = rows.repartition("g").groupBy("g", "x").agg(F.count("*").alias("n"))
-    a = counts.select("g", F.col("x").alias("u"), F.col("n").alias("nu"))
-    b = counts.select("g", F.col("x").alias("v"), F.col("n").alias("nv"))
-    pairs = a.join(b, "g").where("u < v").select("u", "v", (F.col("nu") * F.col("nv")).alias("w"))
-    selves = a.where("nu > 1").select("u", F.col("u").alias("v"), F.expr("nu * (nu - 1) div 2").alias("w"))
+    counts = rows.groupBy("g", "x").agg(F.count("*").alias("n"))
+    pairs = met(counts, "g", "x", "n").select(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("a_n") * F.col("b_n")).alias("w"))
+    selves = counts.where("n > 1").select(F.col("x").alias("u"), F.col("x").alias("v"), F.expr("n * (n - 1) div 2").alias("w"))
     return pairs.unionByName(selves).groupBy("u", "v").agg(F.sum("w").cast("long").alias("w"))
 
 
@@ -34,8 +33,26 @@ def aggregated(pairs: DataFrame, mapping: DataFrame, drop_self: bool = False) ->
     return moved.where(~became).groupBy(F.least("_ru", "_rv").alias("u"), F.greatest("_ru", "_rv").alias("v")).agg(F.sum("w").cast("long").alias("w"))
 
 
+def aggregation_counters(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """One row of what aggregated() does: pairs transferred and their weight, pairs created (none had the name before), modified (one
+    had, and gains), deleted (their names are gone), and loops removed."""
+    one = mapping.select(F.col("name").alias("u"), F.col("representative").alias("_ru"))
+    two = mapping.select(F.col("name").alias("v"), F.col("representative").alias("_rv"))
+    moved = pairs.join(one, "u", "left").join(two, "v", "left").withColumns({"_ru": F.coalesce("_ru", "u"), "_rv": F.coalesce("_rv", "v")})
+    moved = moved.where((F.col("u") != F.col("_ru")) | (F.col("v") != F.col("_rv")))
+    loop = F.col("_ru") == F.col("_rv")
+    counts = moved.agg(
+        F.count_if(~loop).alias("transferred"), F.coalesce(F.sum(F.when(~loop, F.col("w"))), F.lit(0)).cast("long").alias("weight_transferred"),
+        F.count("*").alias("deleted"), F.count_if(loop).alias("loops_removed"),
+    )
+    targets = moved.where(~loop).select(F.least("_ru", "_rv").alias("u"), F.greatest("_ru", "_rv").alias("v")).distinct()
+    hit = targets.join(pairs.select("u", "v", F.lit(1).alias("_had")), ["u", "v"], "left")
+    return counts.crossJoin(hit.agg(F.count_if(F.col("_had").isNull()).alias("created"), F.count_if(F.col("_had").isNotNull()).alias("modified")))
+
+
 def distribution(pairs: DataFrame) -> DataFrame:
     """One row: pairs, total, mean, least and greatest weight, names, and the weights at places n/2, 0.9 n and 0.95 n."""
+    pairs = stored(pairs, "pairs")
     sums = pairs.agg(F.count("*").alias("pairs"), F.sum("w").cast("long").alias("total"), F.round(F.avg("w"), 6).alias("mean"), F.min("w").alias("least"), F.max("w").alias("greatest"))
     names = pairs.select(F.explode(F.array("u", "v")).alias("x")).agg(F.countDistinct("x").alias("names"))
     return sums.crossJoin(names).crossJoin(at_shares(pairs, "w", p50=0.5, p90=0.9, p95=0.95))

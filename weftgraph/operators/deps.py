@@ -50,10 +50,18 @@ def probabilities(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def best_bridges(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, dst, bridge, p): for pairs (src, dst) the node between them with the greatest product of probabilities; ties by name."""
+    """(src, dst, bridge, p): for pairs (src, dst) the node between them with the greatest product of probabilities; ties by name.
+
+    A pair looks for its bridges from the end with fewer edges, so a hub costs its neighbours' edges, not the square of its own.
+    """
+    edges = stored(edges.select("src", "dst", "prob"), "arcs")
     a = edges.select("src", F.col("dst").alias("bridge"), F.col("prob").alias("p1"))
     b = edges.select(F.col("src").alias("bridge"), "dst", F.col("prob").alias("p2"))
-    both = pairs.select("src", "dst").join(a, "src").join(b, ["bridge", "dst"]).where("bridge <> src and bridge <> dst")
+    out, into = edges.groupBy("src").agg(F.count("*").alias("_out")), edges.groupBy("dst").agg(F.count("*").alias("_in"))
+    sized = stored(pairs.select("src", "dst").join(out, "src").join(into, "dst"), "ends")
+    ahead = sized.where("_out <= _in").select("src", "dst").join(a, "src").join(b, ["bridge", "dst"])
+    behind = sized.where("_out > _in").select("src", "dst").join(b, "dst").join(a, ["src", "bridge"])
+    both = ahead.unionByName(behind).where("bridge <> src and bridge <> dst")
     p = F.col("p1") * F.col("p2")
     return both.groupBy("src", "dst").agg(F.min_by(F.struct("bridge", p.alias("p")), F.struct((-p).alias("p"), "bridge")).alias("_b")).select("src", "dst", "_b.bridge", F.round("_b.p", 6).alias("p"))
 

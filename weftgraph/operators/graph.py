@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.config import Graph
+from weftgraph.operators.meet import met
 
 
 def weighted_edges(lines: DataFrame, config: Graph = Graph()) -> DataFrame:
@@ -110,13 +111,29 @@ def path_quality(paths: DataFrame) -> DataFrame:
 
 
 def overlaps(paths: DataFrame) -> DataFrame:
-    """(a, b, both, na, nb), a < b, of paths that share a node."""
+    """(a, b, both, na, nb), a < b, of paths that share a node. A node of many paths is dealt to many tasks."""
     sizes = paths.groupBy("path").agg(F.count("*").alias("n"))
-    x, y = paths.select(F.col("path").alias("a"), "node"), paths.select(F.col("path").alias("b"), "node")
-    both = x.join(y, "node").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    both = met(paths, "node", "path").groupBy("a", "b").agg(F.count("*").alias("both"))
     return both.join(sizes.select(F.col("path").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("path").alias("b"), F.col("n").alias("nb")), "b")
 
 
+def length_histogram(paths: DataFrame) -> DataFrame:
+    """(length, n): how many paths (path, node) have so many nodes."""
+    return paths.groupBy("path").agg(F.count("*").alias("length")).groupBy("length").agg(F.count("*").alias("n"))
+
+
+def busiest_nodes(paths: DataFrame, n: int = 10) -> DataFrame:
+    """(node, paths) of the n nodes that most paths hold; ties by node."""
+    return paths.groupBy("node").agg(F.count("*").alias("paths")).orderBy(F.desc("paths"), "node").limit(n)
+
+
+def coverage(paths: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row: nodes in paths, all nodes (id), their share, and mean nodes of a path."""
+    one = paths.agg(F.countDistinct("node").alias("covered"), F.round(F.count("*") / F.countDistinct("path"), 6).alias("nodes_per_path"))
+    share = F.round(F.when(F.col("nodes") > 0, F.col("covered") / F.col("nodes")).otherwise(0.0), 6)
+    return one.crossJoin(ids.agg(F.countDistinct("id").alias("nodes"))).withColumn("share", share)
+
+
 def step_weights(paths: DataFrame) -> DataFrame:
     """One row over the step weights of path_weights(), steps without an edge left out: count, mean, population deviation, least, greatest."""
     return statistics(paths.select(F.explode("weights").alias("w")).where("w <> 0"), "w").drop("median")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,14 +69,13 @@ def connected_components(links: DataFrame, local: int = 0) -> DataFrame:
     """(id, label): the smallest id reachable by links (a, b), for all ids in links between different ids.
 
     Large-star and small-star steps: a number of rounds that grows with the logarithm of the longest chain, and no task
-    holds a node's neighbours, as each step joins them to a pre-aggregated minimum. Up to `local` edges the driver does it.
+    holds a node's neighbours, as each step joins them to a pre-aggregated minimum. Up to `local` edges one task does it.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     size = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = size(edges)
     if before[0] <= local:
-        kind = edges.schema["u"].dataType.simpleString()
-        return links.sparkSession.createDataFrame(list(roots([(r["u"], r["v"]) for r in edges.collect()]).items()), f"id {kind}, label {kind}")
+        return in_one_task(edges.select("u", "v"), roots)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -89,13 +91,25 @@ def connected_components(links: DataFrame, local: int = 0) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(tops)
 
 
+def in_one_task(pairs: DataFrame, solve) -> DataFrame:
+    """(id, label) that solve makes of pairs, of two columns, whose number was checked; the driver doesn't see them."""
+    kind = pairs.schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = solve([p for b in batches for p in zip(*(b[c].tolist() for c in b.columns), strict=True)])
+        yield pd.DataFrame({"id": list(found), "label": list(found.values())}, dtype=object if kind == "string" else None)
+
+    return pairs.coalesce(1).mapInPandas(run, f"id {kind}, label {kind}") if pairs.limit(1).count() else pairs.toDF("id", "label")
+
+
 def labelled(ids: DataFrame, links: DataFrame, local: int = 0) -> DataFrame:
     """(id, label) of all ids: those without links are their own label."""
     return ids.select("id").join(connected_components(links, local), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
-def hops(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
-    """(src, node, dist) of directed edges (src, dst): breadth-first from every start (id), to a depth or to the end."""
+def hops(edges: DataFrame, starts: DataFrame, most: int | None = None, symmetric: bool = False) -> DataFrame:
+    """(src, node, dist) of directed edges (src, dst): breadth-first from every start (id), to a depth or to the end. symmetric: every
+    edge is there both ways, so that a step can only lead back to the last two levels."""
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("_to")).distinct()
     seen = stored(starts.select(F.col("id").alias("src"), F.col("id").alias("node"), F.lit(0).alias("dist")).distinct(), "hops")
     edge, parts, n = seen, [seen], 0
@@ -104,6 +118,8 @@ def hops(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFr
         known = parts[0]
         for p in parts[1:]:
             known = known.unionByName(p)
+        if symmetric and n > 1:
+            known = parts[-2].unionByName(parts[-1])
         new = edge.join(step, "node").select("src", F.col("_to").alias("node")).distinct().join(known.select("src", "node"), ["src", "node"], "left_anti")
         edge = stored(new.withColumn("dist", F.lit(n)).select("src", "node", "dist"), "hops")
         if edge.isEmpty():
@@ -115,9 +131,9 @@ def hops(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFr
     return out
 
 
-def eccentricity(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def eccentricity(edges: DataFrame, starts: DataFrame, symmetric: bool = False) -> DataFrame:
     """(id, eccentricity, reached, total): the greatest distance from a node, how many it reaches, and the sum of distances."""
-    return hops(edges, starts).groupBy(F.col("src").alias("id")).agg(F.max("dist").cast("long").alias("eccentricity"), F.count("*").alias("reached"), F.sum("dist").cast("long").alias("total"))
+    return hops(edges, starts, symmetric=symmetric).groupBy(F.col("src").alias("id")).agg(F.max("dist").cast("long").alias("eccentricity"), F.count("*").alias("reached"), F.sum("dist").cast("long").alias("total"))
 
 
 def strong_components(edges: DataFrame, ids: DataFrame, local: int = 0) -> DataFrame:
@@ -125,14 +141,13 @@ def strong_components(edges: DataFrame, ids: DataFrame, local: int = 0) -> DataF
 
     Forward-backward colouring: nodes without a way in or out are trimmed as their own components; then every node takes the
     smallest id that reaches it as colour, and what reaches its colour's root within the colour is the root's component.
-    Up to `local` edges and ids the driver does it.
+    Up to `local` edges and ids one task does it.
     """
     done, left = [], stored(ids.select("id").distinct(), "left")
     arcs = stored(edges.select("src", "dst").where("src <> dst").distinct(), "arcs")
     if local and arcs.count() + left.count() <= local:
-        kind = left.schema["id"].dataType.simpleString()
-        found = strong_roots([tuple(r) for r in arcs.collect()], [r["id"] for r in left.collect()])
-        return edges.sparkSession.createDataFrame(list(found.items()), f"id {kind}, label {kind}")
+        loops = left.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+        return in_one_task(arcs.unionByName(loops), lambda pairs: strong_roots([p for p in pairs if p[0] != p[1]], [a for a, b in pairs if a == b]))
     while not left.isEmpty():
         ends = arcs.select(F.col("src").alias("id")).intersect(arcs.select(F.col("dst").alias("id")))
         trimmed = left.join(ends, "id", "left_anti")
@@ -172,15 +187,15 @@ def component_sizes(ids: DataFrame, links: DataFrame, local: int = LOCAL_EDGES)
     return labelled(ids, links, local).groupBy("label").agg(F.count("*").alias("n"))
 
 
-def distance_profile(edges: DataFrame, ids: DataFrame, below: int = 5000) -> DataFrame:
+def distance_profile(edges: DataFrame, ids: DataFrame, below: int | None = 5000) -> DataFrame:
     """One row: nodes, components, largest component, and of a connected graph diameter, radius and mean distance; null when it
-    isn't connected, or has `below` nodes or more, as all distances are quadratic in the nodes. edges: (u, v)."""
+    isn't connected, or has `below` nodes or more, as all distances are quadratic in the nodes (None: always told). edges: (u, v)."""
     sizes = stored(component_sizes(ids, edges.select(F.col("u").alias("a"), F.col("v").alias("b"))), "sizes")
     one = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("nodes"), F.count("*").alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
     nodes, parts, _ = one.first()
     empty = F.lit(None)
-    if parts != 1 or nodes >= below:
+    if parts != 1 or below is not None and nodes >= below:
         return one.withColumns({"diameter": empty.cast("long"), "radius": empty.cast("long"), "mean_distance": empty.cast("double")})
     ways = edges.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(edges.select(F.col("v").alias("src"), F.col("u").alias("dst")))
-    far = eccentricity(ways, ids).agg(F.max("eccentricity").alias("diameter"), F.min("eccentricity").alias("radius"), F.round(F.sum("total") / (F.count("*") * (F.count("*") - 1)), 6).alias("mean_distance"))
+    far = eccentricity(ways, ids, symmetric=True).agg(F.max("eccentricity").alias("diameter"), F.min("eccentricity").alias("radius"), F.round(F.sum("total") / (F.count("*") * (F.count("*") - 1)), 6).alias("mean_distance"))
     return one.crossJoin(far)

@@ -6,8 +6,9 @@ A reply is paid for once: results are written by key, and a restart skips the ke
 from __future__ import annotations
 
 import json
+import os
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from hashlib import blake2b
 from itertools import islice
@@ -41,6 +42,7 @@ class HttpClient:
         self.url, self.model, self.key, self.config = url, model, key, config
 
     def complete(self, prompt: str) -> str:
+        cause = "no reply"
         body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}], "max_tokens": self.config.max_tokens}).encode()
         for n in range(self.config.request_tries):
             try:
@@ -50,11 +52,50 @@ class HttpClient:
             except error.HTTPError as e:
                 if e.code in (400, 450, 451):
                     raise Refused(f"status {e.code}") from e
-            except OSError:
-                pass
+                cause = f"status {e.code}"
+            except (OSError, ValueError, KeyError, IndexError, TypeError) as e:  # the connection, or a reply that isn't one
+                cause = f"{type(e).__name__}: {e}"
             if n + 1 < self.config.request_tries:
                 time.sleep(self.config.request_pause)
-        raise Refused("no reply")
+        raise Refused(f"no reply after {self.config.request_tries} tries: {cause}")
+
+
+#: Of each mode: the variables of the workers' environment that hold the address, the key and the model.
+MODES = {"internal": ("WEFT_INTERNAL_URL", "WEFT_INTERNAL_KEY", "WEFT_INTERNAL_MODEL"), "standard": ("WEFT_CHAT_URL", "WEFT_CHAT_KEY", "WEFT_CHAT_MODEL")}
+
+
+def chosen_mode(mode: str, settings: Mapping[str, str]) -> str:
+    """internal, standard, or auto: the first of both whose address is set. Fails if a mode's address isn't."""
+    if mode != "auto" and mode not in MODES:
+        raise ValueError(f"no such mode: {mode}")
+    ready = [m for m in MODES if settings.get(MODES[m][0])]
+    if mode == "auto" and ready:
+        return ready[0]
+    if mode not in ready:
+        raise ValueError(f"no address for mode {mode}")
+    return mode
+
+
+def http_client(mode: str = "auto", config: Model = Model()) -> Callable[[], ModelClient]:
+    """A maker of clients; the mode and its settings are read where the client is made, on the workers."""
+
+    def make() -> ModelClient:
+        url, key, model = (os.environ.get(n, "") for n in MODES[chosen_mode(mode, os.environ)])
+        return HttpClient(url, model, key, config)
+
+    return make
+
+
+class ModelEncoder:
+    """Adapts a model with encode(texts, ...) that gives vectors, or a mapping that holds them under `field`, such as the libraries
+    of sentence encoders have. made by `load` on the worker, once a task."""
+
+    def __init__(self, load: Callable[[], object], field: str = "dense_vecs", **options):
+        self.model, self.field, self.options = load(), field, options
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        found = self.model.encode(texts, **self.options)
+        return np.asarray(found[self.field] if isinstance(found, Mapping) else found, np.float32)
 
 
 class StubClient:

@@ -13,6 +13,16 @@ EXTRACTION = 'List the concepts that the following problem relies on, as a JSON
 DEPENDENCY = 'For the concepts below give each prerequisite as a JSON array of {"from", "to", "score", "reason"}, score 1 to 5.\n\n{points}'
 
 
+def template(name: str) -> str | None:
+    """A template by name; None if there is none."""
+    return TEMPLATES.get(name)
+
+
+def templates() -> dict[str, str]:
+    """All templates; a copy."""
+    return dict(TEMPLATES)
+
+
 def looked_up(combos: DataFrame, dictionary: DataFrame, raw_first: bool = False) -> DataFrame:
     """combos (key, combo) as (key, pos, raw, name, description): a name is sought cleaned of backslashes, then of quotes; with
     raw_first as it is before that. description is null where nothing is found."""

@@ -29,10 +29,18 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
 
 def at_shares(df: DataFrame, value: str, **shares: float) -> DataFrame:
     """One row: for each name the element at zero-based place floor(rows * share) of the sorted values. Runs on the
-    histogram: rows with equal values are counted before anything is ordered."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_rows"))
-    running = counts.withColumn("_to", F.sum("_rows").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_rows").over(W.partitionBy()))
-    pick = lambda q: F.min(F.when(F.col("_to") > F.floor(F.col("_all") * F.lit(q)), F.col(value)))
+    histogram: rows with equal values are counted before anything is ordered, and sorted by ranges; running sums stay within
+    a range, and one count a range tells where it begins."""
+    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_rows")).where("_v is not null")
+    held = stored(counts.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()), "histogram")
+    begins, total = [], 0
+    for r in held.groupBy("_part").agg(F.sum("_rows").alias("n")).orderBy("_part").collect():
+        begins += [F.lit(r["_part"]), F.lit(total)]
+        total += r["n"]
+    begin = F.element_at(F.create_map(*begins), F.col("_part")) if begins else F.lit(0)
+    own = F.sum("_rows").over(W.partitionBy("_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    running = held.withColumn("_to", own + begin)
+    pick = lambda q: F.min(F.when(F.col("_to") > F.floor(F.lit(total) * F.lit(q)), F.col("_v")))
     return running.agg(*(pick(q).alias(k) for k, q in shares.items()))
 
 

@@ -20,7 +20,7 @@ MOST_EDGES = 5_000_000
 
 def neighbourhoods(edges: DataFrame, ids: DataFrame, n: int = Walk.hops) -> DataFrame:
     """(id, n): nodes within n hops, the node itself included."""
-    return hops(both_ways(edges), ids, n).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    return hops(both_ways(edges), ids, n, symmetric=True).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
 
 
 def gate(sizes: DataFrame, config: Walk = Walk()) -> DataFrame:
