@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from weftgraph.plans import contract
+from weftgraph.plans import contract, files_contract  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -139,6 +139,29 @@ def test_cosine_blocks_equal_brute_force(spark):
         assert profile["over_50"] == len(want)
 
 
+def test_hot_groups_meet_in_blocks(spark):
+    from weftgraph.operators.meet import met
+
+    rows = [(1, x) for x in range(50)] + [(2, x) for x in range(4)]
+    df = spark.createDataFrame(rows, "g long, x long").withColumn("n", F.col("x") + 1)
+    want = {(1, a, b) for a in range(50) for b in range(a + 1, 50)} | {(2, a, b) for a in range(4) for b in range(a + 1, 4)}
+    for block in (1000, 7, 1):
+        found = met(df, "g", "x", "n", block=block).collect()
+        assert len(found) == len(want) and {(r["g"], r["a"], r["b"]) for r in found} == want and all((r["a_n"], r["b_n"]) == (r["a"] + 1, r["b"] + 1) for r in found)
+
+
+def test_bridges_from_either_end(spark):
+    rng = np.random.default_rng(5)
+    arcs = {(int(a), int(b)): float(p) for a, b, p in zip(rng.integers(0, 15, 120), rng.integers(0, 15, 120), rng.choice([0.3, 0.6, 0.85], 120), strict=True) if a != b}
+    edges = spark.createDataFrame([(a, b, p) for (a, b), p in arcs.items()], "src long, dst long, prob double")
+    want = {}
+    for s, t in arcs:
+        ways = [(-round(arcs[s, m] * arcs[m, t], 9), m) for m in range(15) if (s, m) in arcs and (m, t) in arcs and m not in (s, t)]
+        if ways:
+            want[s, t] = min(ways)[1]
+    assert {(r["src"], r["dst"]): r["bridge"] for r in deps.best_bridges(edges, edges).collect()} == want
+
+
 def test_betweenness_of_a_path(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0)], "u string, v string, weight double")
     got = {r["id"]: r["betweenness"] for r in walks.betweenness(edges, graph.nodes(edges)).collect()}
@@ -258,6 +281,59 @@ def test_only_failures_are_asked_again(spark):
     assert got == {1: ("{}", 1, "ok"), 2: ("{}", 3, "ok"), 3: ("status 400", 1, "refused"), 4: ("prose", 6, "unparsed")}
 
 
+def test_http_client_against_a_server(monkeypatch):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    replies = [(503, b""), (200, b"not json"), (200, json.dumps({"choices": [{"message": {"content": "yes"}}]}).encode()), (450, b""), (500, b""), (500, b"")]
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append((self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            code, body = replies.pop(0)
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/chat"
+        client = model.HttpClient(url, "m", "k", Model(request_tries=3, request_pause=0.0, timeout=5))
+        assert client.complete("hello") == "yes" and len(asked) == 3
+        assert asked[0][0] == "Bearer k" and asked[0][1]["messages"][0]["content"] == "hello"
+        with pytest.raises(model.Refused, match="450"):
+            client.complete("again")
+        with pytest.raises(model.Refused, match="after 2 tries: status 500"):
+            model.HttpClient(url, "m", "k", Model(request_tries=2, request_pause=0.0, timeout=5)).complete("more")
+    finally:
+        server.shutdown()
+    with pytest.raises(model.Refused, match="after 1 tries: URLError"):
+        model.HttpClient("http://127.0.0.1:9/none", "m", "k", Model(request_tries=1, timeout=2)).complete("gone")
+
+
+def test_modes_of_clients(monkeypatch):
+    assert model.chosen_mode("auto", {"WEFT_INTERNAL_URL": "a", "WEFT_CHAT_URL": "b"}) == "internal"
+    assert model.chosen_mode("auto", {"WEFT_CHAT_URL": "b"}) == "standard" == model.chosen_mode("standard", {"WEFT_CHAT_URL": "b"})
+    for mode, settings in (("auto", {}), ("internal", {"WEFT_CHAT_URL": "b"}), ("other", {"WEFT_CHAT_URL": "b"})):
+        with pytest.raises(ValueError, match="mode"):
+            model.chosen_mode(mode, settings)
+    monkeypatch.setenv("WEFT_CHAT_URL", "http://there")
+    monkeypatch.setenv("WEFT_CHAT_MODEL", "m")
+    made = model.http_client("standard")()
+    assert (made.url, made.model, made.key) == ("http://there", "m", "")
+
+    class Dense:
+        def encode(self, texts, size):
+            return {"dense_vecs": [[float(len(x))] * size for x in texts]}
+
+    assert model.ModelEncoder(Dense, size=2).encode(["ab"]).tolist() == [[2.0, 2.0]]
+
+
 def test_consolidation(spark):
     lines = [("d", "f", 1, '{"doc_id":"p","knowledge_points":{"1":"A - x","2":" - y","1":"A - z"}}'), ("d", "f", 2, ""), ("d", "f", 3, "[1]"), ("e", "g", 1, '{"knowledge_points":{"1":"B"}}')]
     points, bad = knowledge.parsed_points(spark.createDataFrame(lines, "dataset string, file string, line long, value string"))
@@ -284,7 +360,8 @@ def test_text_forms_round_trip(spark, tmp_path):
     ids, edges = graph.nodes(pairs), pairs.withColumn("weight", F.col("w") * 1.0)
     writers.graph_file(ids, edges, f"{p}/g.gexf")
     n, e = readers.graph_file(spark, f"{p}/g.gexf")
-    assert n.count() == 4 and {tuple(r) for r in e.collect()} == {("a", "b", 3.0), ("c", "d", 5.0)}
+    assert n.count() == 4 and {tuple(r) for r in e.select("u", "v", "weight").collect()} == {("a", "b", 3.0), ("c", "d", 5.0)}
+    assert {r["attributes"]["cluster_size"] for r in n.collect()} == {"1"} and {r["attributes"]["w"] for r in e.collect()} == {"3", "5"}
     writers.edge_list(edges, f"{p}/edges")
     writers.combinations(spark.createDataFrame([(["b", "c"],)], "combo array<string>"), f"{p}/combos")
     assert col(readers.combinations(spark.read.text(f"{p}/combos")), "combo") == [["b", "c"]]
@@ -295,19 +372,26 @@ def test_text_forms_round_trip(spark, tmp_path):
     assert readers.json_rejects(spark.read.text(f"{p}/bad.jsonl")).count() == 1
     assert writers.valid_json(spark.read.text(f"{p}/json")).first().asDict() == {"total": 2, "valid": 2, "invalid": 0}
     clusters = spark.createDataFrame([("[main_keyword: A]##[main_index: 0]##[indices: [0, 2]]##[topics: ['A', 'C']]",)], "value string")
-    assert [tuple(r) for r in readers.cluster_lines(clusters).collect()] == [("A", 0, [0, 2], ["A", "C"])]
+    assert [tuple(r) for r in readers.cluster_lines(clusters).collect()] == [("A", 0, "", [0, 2], [], ["A", "C"])]
     assert readers.groups_of_json(spark.createDataFrame([('[["a","b"],["c"]]',)], "value string")).count() == 3
     assert {tuple(r) for r in readers.json_map(spark.createDataFrame([('{"a":"1","a":"2"}',)], "value string")).collect()} == {("a", "2")}
     assert {r["dataset"] for r in readers.datasets(spark, f"{p}/*.jsonl", [".jsonl"]).collect()} == {"bad"}
-    record = spark.createDataFrame([(0, "A", [0, 2], ["A", "C"])], "main_index long, main_name string, indices array<long>, members array<string>")
+    odd = ["Euler's formula", 'both "kinds\' of', "a##b]##[c \\ d", "plain - it's"]
+    found = spark.createDataFrame([(i, 0) for i in range(4)], "id long, cluster long")
+    record = cluster.cluster_records(found, spark.createDataFrame(list(enumerate(odd)), "id long, name string"))
     writers.clusters(record, f"{p}/clusters")
-    assert [tuple(r) for r in readers.cluster_lines(spark.read.text(f"{p}/clusters")).collect()] == [("A", 0, [0, 2], ["A", "C"])]
+    got = readers.cluster_lines(spark.read.text(f"{p}/clusters")).first()
+    assert (got["main_name"], got["members"], got["descriptions"], got["indices"]) == (odd[0], odd, ["", "", "", "it's"], [0, 1, 2, 3])
+    by_double = spark.createDataFrame([("""[main_keyword: "B"]##[main_index: 1]##[main_description: ""]##[indices: [1, 3]]##[descriptions: ['', 'x']]##[topics: [1, 3]]##[contents: ["Euler's", 'C']]""",)], "value string")
+    assert readers.cluster_lines(by_double).first()["members"] == ["Euler's", "C"]
     assert readers.file_counts(spark, f"{p}/bad.jsonl").first()[1:] == (4, 3)
     assert readers.explore(pairs, 1)["rows"] == 2
     groups.write.parquet(f"{p}/groups")
     assert readers.saved_groups(spark, f"{p}/groups").count() == readers.saved_groups(spark, f"{p}/blocks", "text").count() == 3
     with pytest.raises(FileNotFoundError, match="gone"):
         readers.require(spark, p, f"{p}/gone")
+    many = spark.range(5).select(F.col("id").alias("n"))
+    assert writers.report("R", {"many": many}, most=3).splitlines()[-1] == "(2 rows more)" and json.loads(writers.report_json({"many": many}, most=3))["many"][-1] == {"more": 2}
     assert "pairs" in writers.report("R", {"pairs": pairs}) and json.loads(writers.report_json({"pairs": pairs}))["pairs"][0]["u"] == "a"
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from weftgraph.config import LOCAL_EDGES, Clustering, Graph, Walk
 from weftgraph.functions import text as X
 from weftgraph.operators import cluster, combos, cooccur, deps, graph, graph_iter, knowledge, model, prompts, ranking, walks
+from weftgraph.storage import stored
 
 SIMILAR = 0.35
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,7 +292,7 @@ def vector_names(spark, d):
 
 @query(f"WITH RECURSIVE {REACH} SELECT cluster AS main_index, 'v:' || cluster AS main_name, string_agg(id, ',' ORDER BY id) AS indices, string_agg('v:' || id, ',' ORDER BY id) AS members FROM comp GROUP BY cluster")
 def cluster_records(spark, d):
-    found = cluster.cluster_records(components(spark, d), vector_names(spark, d))
+    found = cluster.cluster_records(components(spark, d), vector_names(spark, d)).drop("main_description", "descriptions")
     return found.withColumns({"indices": F.array_join(F.col("indices").cast("array<string>"), ","), "members": F.array_join("members", ",")})
 
 
@@ -363,7 +364,8 @@ def supernodes(spark, d):
 
 @query(f"WITH {DENSE} SELECT u, v, w FROM cooc WHERE u NOT IN (SELECT id FROM super) AND v NOT IN (SELECT id FROM super)")
 def pruned_edges(spark, d):
-    return graph.without(pairs(spark, d), supernodes(spark, d))
+    edges = stored(pairs(spark, d), "pairs")
+    return graph.without(edges, graph.supernodes(graph.degrees(edges)))
 
 
 @query(f"WITH {SPARSE} SELECT (SELECT count(*) FROM deg) AS nodes, count(*) AS edges, round(2.0 * count(*) / ((SELECT count(*) FROM deg) * ((SELECT count(*) FROM deg) - 1)), 9) AS density FROM edge")
@@ -386,13 +388,18 @@ def graph_components(spark, d):
 HOPS = NEAR + ", hop(src, node, n) AS (SELECT DISTINCT src, src, 0 FROM ways UNION SELECT h.src, w.dst, h.n + 1 FROM hop h JOIN ways w ON h.node = w.src WHERE h.n < 4), size AS (SELECT src AS id, count(DISTINCT node) AS n FROM hop GROUP BY src)"
 
 
+def ends(edges):
+    return edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+
+
 def near_ids(spark, d):
-    return near_edges(spark, d).select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    return ends(near_edges(spark, d))
 
 
 @query(f"WITH RECURSIVE {HOPS} SELECT id, n FROM size")
 def khop_sizes(spark, d):
-    return walks.neighbourhoods(near_edges(spark, d), near_ids(spark, d))
+    edges = stored(near_edges(spark, d), "near")
+    return walks.neighbourhoods(edges, ends(edges))
 
 
 @query(f"WITH RECURSIVE {HOPS} SELECT id, n, CASE WHEN n < 6 THEN 'fail' WHEN n < 15 THEN 'take' ELSE 'walk' END AS action, CASE WHEN n < 6 THEN 'Insufficient neighbors: ' || n || ' < 6' END AS reason FROM size")
@@ -405,12 +412,14 @@ BFS = NEAR + ", hop(src, node, n) AS (SELECT DISTINCT src, src, 0 FROM ways UNIO
 
 @query(f"WITH RECURSIVE {BFS} SELECT src, node, dist FROM dist")
 def bfs_distances(spark, d):
-    return graph_iter.hops(graph.both_ways(near_edges(spark, d)), near_ids(spark, d))
+    edges = stored(near_edges(spark, d), "near")
+    return graph_iter.hops(graph.both_ways(edges), ends(edges), symmetric=True)
 
 
 @query(f"WITH RECURSIVE {BFS} SELECT src AS id, CAST(max(dist) AS BIGINT) AS eccentricity, count(*) AS reached, CAST(sum(dist) AS BIGINT) AS total FROM dist GROUP BY src")
 def eccentricity(spark, d):
-    return graph_iter.eccentricity(graph.both_ways(near_edges(spark, d)), near_ids(spark, d))
+    edges = stored(near_edges(spark, d), "near")
+    return graph_iter.eccentricity(graph.both_ways(edges), ends(edges), symmetric=True)
 
 
 @query(f"""WITH {SPARSE}, ways AS (SELECT u src, v dst, weight FROM edge UNION ALL SELECT v, u, weight FROM edge), x AS (SELECT src, dst, weight / (ln(1 + degree) + 1e-6) AS y FROM ways JOIN deg ON dst = id)
@@ -640,7 +649,8 @@ def betweenness(spark, d):
 
 @query()
 def random_walks(spark, d):
-    return walks.random_walks(near_edges(spark, d), near_ids(spark, d), Walk())
+    edges = stored(near_edges(spark, d), "near")
+    return walks.random_walks(edges, ends(edges), Walk())
 
 
 @query()

@@ -13,9 +13,31 @@ from weftgraph.config import Clustering, Combine, Graph, Ingest, Model, Walk
 from weftgraph.functions import text as X
 from weftgraph.operators import cluster, combos, cooccur, deps, graph, knowledge, model, prompts, walks
 from weftgraph.operators.ranking import indexed
+from weftgraph.sources import readers, writers
 from weftgraph.storage import stored
 
 
+def extraction_job(
+    spark: SparkSession, glob: str, out: str, client: Callable[[], model.ModelClient] = model.StubClient, asking: Model = Model(pause=0.0),
+    suffixes: tuple[str, ...] = (".txt",), include: list[str] | None = None, exclude: tuple[str, ...] = (), most: int | None = None,
+) -> DataFrame:
+    """(dataset, total, ok, failed, ok_percent) of files of `doc_id##@@Bquestion` lines, by dataset and over all (dataset null).
+
+    Raw replies, parsed points and errors are appended under out, by dataset; what has points from an earlier run isn't asked again.
+    most: only the first lines of each file.
+    """
+    files = readers.datasets(spark, glob, suffixes, include, exclude)
+    lines = readers.numbered_lines(spark, glob).join(files.select("file", "dataset"), "file")
+    asked = readers.extraction_lines(lines, most=most, keep=("dataset",)).withColumn("key", F.concat_ws("\x1f", "dataset", "doc_id"))
+    if readers.there(spark, f"{out}/parsed"):
+        asked = model.skip_done(asked, spark.read.schema("dataset string, doc_id string").json(f"{out}/parsed").select(F.concat_ws("\x1f", "dataset", "doc_id").alias("key")), "key")
+    work = stored(asked.select("dataset", "doc_id", "key", X.fill(prompts.EXTRACTION, text=F.col("question")).alias("prompt")).dropDuplicates(["key"]), "asked")
+    replies = model.completed(work, client, model.has_object, asking).join(work.select("key", "dataset", "doc_id"), "key").drop("key")
+    replies = stored(replies, "replies")
+    writers.three_way(replies, out, X.points_of(F.col("raw")))
+    return knowledge.status_counts(replies)
+
+
 @dataclass
 class Result:
     questions: DataFrame

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import DEPENDENCY, strip, walk_nodes
 from weftgraph.operators.ranking import indexed
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def require(spark: SparkSession, *paths: str) -> None:
     """Fails, naming all paths that aren't there."""
-    gone = []
-    for p in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(p)
-        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            gone.append(p)
+    gone = [p for p in paths if not there(spark, p)]
     if gone:
         raise FileNotFoundError(", ".join(gone))
 
@@ -52,11 +53,11 @@ def json_rejects(lines: DataFrame) -> DataFrame:
     return lines.where((strip(F.col("value")) != "") & F.expr("try_parse_json(value)").isNull())
 
 
-def extraction_lines(lines: DataFrame, delimiter: str = "##@@B", most: int | None = None) -> DataFrame:
-    """(doc_id, question) of lines (line, value) with a delimiter; split once, trimmed. most: only the first lines."""
+def extraction_lines(lines: DataFrame, delimiter: str = "##@@B", most: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, question), and the columns to keep, of lines (line, value) with a delimiter; split once, trimmed. most: only the first lines."""
     kept = lines if most is None else lines.where(F.col("line") <= most)
     parts = F.split("value", delimiter, 2)
-    return kept.where(F.size(parts) == 2).select(strip(parts[0]).alias("doc_id"), strip(parts[1]).alias("question"))
+    return kept.where(F.size(parts) == 2).select(strip(parts[0]).alias("doc_id"), strip(parts[1]).alias("question"), *keep)
 
 
 def groups_of_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -84,12 +85,29 @@ def weighted_edges(lines: DataFrame, least: float = 1.0) -> DataFrame:
     return good.select(F.least("_a", "_b").alias("u"), F.greatest("_a", "_b").alias("v"), w.alias("w")).where(F.col("w").isNotNull() & (F.col("w") >= least))
 
 
+#: An item of a literal list of texts: in single or double quotes, with backslashes before what they protect.
+QUOTED = r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
+#: A cluster's line: known keys in their order; what stands between two of them is a value, whatever marks it holds.
+CLUSTER = (
+    r'(?s)^\s*\[main_keyword: "?(.*?)"?\]##\[main_index: (\d+)\](?:##\[main_description: "?(.*?)"?\])?##\[indices: (\[.*?\])\]'
+    r"(?:##\[descriptions: (\[.*?\])\])?##\[topics: (\[.*?\])\](?:##\[contents: (\[.*?\])\])?\s*$"
+)
+
+
+def quoted_list(c: Column) -> Column:
+    """The texts of a literal list in either kind of quotes."""
+    each = F.regexp_extract_all(c, F.lit(QUOTED), F.lit(1))
+    return F.transform(each, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1"))
+
+
 def cluster_lines(lines: DataFrame) -> DataFrame:
-    """(main_name, main_index, indices, members) of `[key: value]##[key: value]` lines."""
-    part = lambda k: F.regexp_extract("value", rf"\[{k}: (.*?)\](?:##|$)", 1)
-    return lines.where(strip(F.col("value")) != "").select(
-        part("main_keyword").alias("main_name"), part("main_index").cast("long").alias("main_index"),
-        F.from_json(part("indices"), "array<bigint>").alias("indices"), F.from_json(F.regexp_replace(part("topics"), "'", '"'), "array<string>").alias("members"),
+    """(main_name, main_index, main_description, indices, descriptions, members) of `[key: value]##[key: value]` lines (value). Members
+    are the contents, or the topics where a line has no contents; other lines are skipped."""
+    part = lambda n: F.regexp_extract("value", CLUSTER, n)
+    return lines.where(F.col("value").rlike(CLUSTER)).select(
+        part(1).alias("main_name"), part(2).cast("long").alias("main_index"), part(3).alias("main_description"),
+        F.from_json(part(4), "array<bigint>").alias("indices"), quoted_list(part(5)).alias("descriptions"),
+        F.when(part(7) != "", quoted_list(part(7))).otherwise(quoted_list(part(6))).alias("members"),
     )
 
 
@@ -116,18 +134,46 @@ def json_map(text: DataFrame) -> DataFrame:
     return each.groupBy("name").agg(F.max_by("description", "pos").alias("description"))
 
 
+def mapping_file(text: DataFrame) -> DataFrame:
+    """(name, representative) of a row (value) that is a JSON object with a section original_to_representative."""
+    found = F.from_json("value", "original_to_representative map<string,string>")["original_to_representative"]
+    return text.select(F.explode(found).alias("name", "representative"))
+
+
+def statistics_file(text: DataFrame) -> DataFrame:
+    """(section, name, value) of a row (value) that is a JSON object of objects; values as text."""
+    each = text.select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("section", "_m"))
+    return each.select("section", F.explode("_m").alias("name", "value"))
+
+
 def graph_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(node table, edge table) of a GEXF file; fails if there are no nodes, or an edge has no weight."""
-    nodes = spark.read.format("xml").option("rowTag", "node").load(path)
-    edges = spark.read.format("xml").option("rowTag", "edge").load(path).select(F.col("_source").cast("string").alias("u"), F.col("_target").cast("string").alias("v"), F.col("_weight").cast("double").alias("weight"))
+    """(node table, edge table) of a GEXF file, with the attributes that it declares as a map; fails if there are no nodes, or an edge has no
+    weight."""
+    values = "attvalues struct<attvalue:array<struct<_for:string,_value:string>>>"
+    named = F.coalesce(F.map_from_entries(F.transform("attvalues.attvalue", lambda a: F.struct(a["_for"], a["_value"]))), F.create_map().cast("map<string,string>"))
+    nodes = spark.read.schema(f"_id string, _label string, {values}").format("xml").option("rowTag", "node").load(path)
+    edges = spark.read.schema(f"_source string, _target string, _weight double, {values}").format("xml").option("rowTag", "edge").load(path)
+    edges = edges.select(F.col("_source").alias("u"), F.col("_target").alias("v"), F.col("_weight").alias("weight"), named.alias("attributes"))
     if nodes.isEmpty() or edges.where("weight is null").limit(1).count():
         raise ValueError("the graph has no nodes, or an edge without a weight")
-    return nodes.select(F.col("_id").cast("string").alias("id")), edges
+    return nodes.select(F.col("_id").alias("id"), named.alias("attributes")), edges
+
+
+def edge_list(lines: DataFrame) -> DataFrame:
+    """(u, v, weight) of tab-separated lines (value)."""
+    parts = F.split("value", "\t")
+    return lines.where(F.size(parts) == 3).select(parts[0].alias("u"), parts[1].alias("v"), parts[2].cast("double").alias("weight"))
+
+
+def name_lines(lines: DataFrame) -> DataFrame:
+    """(idx, name) of `idx\tname` lines (value); split once."""
+    parts = F.split("value", "\t", 2)
+    return lines.where(F.size(parts) == 2).select(parts[0].cast("long").alias("idx"), parts[1].alias("name"))
 
 
 def embeddings(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
     """(idx, name, vec) of stored vectors (idx, vec); fails unless every name has one."""
-    found = spark.read.parquet(path).join(names, "idx")
+    found = spark.read.parquet(path).select("idx", "vec").join(names, "idx")
     if found.count() != names.count():
         raise ValueError("vectors and names differ in number")
     return found.select("idx", "name", "vec")
