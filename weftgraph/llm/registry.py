@@ -15,12 +15,12 @@ QUERIES = {f.__name__: f for f in (op1_label_shards, op2_secret_scan, op3_byte_b
 
 #: All pairs of documents that share a shingle, counted; then what can be reached by links.
 JACCARD_SQL = r"""
-WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM rows),
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM docs),
 each AS (SELECT r, len(s) AS n, unnest(s) AS x FROM sets),
 links AS (SELECT a.r AS a, b.r AS b FROM each a JOIN each b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach AS (SELECT r AS a, r AS b FROM rows UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a)
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT r AS a, r AS b FROM docs UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
 SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, CASE WHEN len(sets.s) = 0 THEN sets.doc_id ELSE min(o.doc_id) END AS component_id
 FROM sets JOIN reach ON sets.r = reach.a JOIN sets o ON o.r = reach.b GROUP BY sets.r, sets.doc_id, sets.s
 """
