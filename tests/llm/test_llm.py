@@ -930,6 +930,38 @@ def test_every_stratum_is_judged_alone(spark):
     assert {r["doc_id"]: r["kept"] for r in again} == out
 
 
+# ---- very long texts
+
+
+def test_twenty_megabytes_in_one_text(spark):
+    """Every operator reads one text of 20 MB whole, in time that grows with its length."""
+    import time
+
+    rng = random.Random(1)
+    words = vocabulary(rng, 5000, "etaoinshrdlu")
+    text = " ".join(rng.choices(words, k=3_100_000)) + " Zx9Qm2Lp7Vt4Kw8Rb3Nc6 … token=abcdefgh1234"
+    assert len(text) > 19_000_000
+    crf = language_crf.Crf.fitted([(" ".join(rng.choices(words[k::2], k=50)), "ab"[k]) for k in (0, 1) for _ in range(10)])
+    library = Tokenizer.from_file(WORDS)
+    html = "".join(f"<p>{text[i : i + 400]}" for i in range(0, len(text), 400))
+    runs = {
+        "secrets": lambda: [k for *_, k in secret_scan.Scanner().spans(text)][-2:] == ["entropy", "assign"],
+        "byte_bpe": lambda: byte_bpe.codec(RANKS).decode(byte_bpe.codec(RANKS).encode(text)) == text.encode(),
+        "media": lambda: media.described_images(media.images(text))[1] == hashlib.sha256(media.payload(text)[1]).hexdigest() and len(media.sequence(media.rendered(text))) > 500,
+        "language": lambda: crf.predict([text])[0][0] in "ab",
+        "pages": lambda: len(page_diff.page_lines(html)) > 48_000,
+        "alignment": lambda: len(page_diff.common_lines(list(range(40_000)), list(range(20_000, 60_000)))) == 20_000,
+        "shingles": lambda: len(jaccard_join.shingles(text, 4)) > 2_900_000,
+        "packing": lambda: len(packing.encoding(JSON).encode_to_numpy(text, allowed_special="all")) > 3_000_000,
+        "counts": lambda: token_counts.counter(WORDS).count(text) == len(library.encode(text, add_special_tokens=False).ids),
+        "quality": lambda: quality_risk.features(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["n_words"] == len(text.split()),
+    }
+    for name, run in runs.items():
+        began = time.time()
+        assert run(), name
+        assert time.time() - began < 120, name
+
+
 # ---- pipeline
 
 
