@@ -4,7 +4,7 @@ Documents that share a link key are linked; labels are shards. In each round a j
 its links' members by shard, and it asks to move to the shard with most of them. Flows between shards are then cut on the
 driver (a matrix of number x number counts) until no shard takes in more than its free quota and what leaves it, and each
 flow accepts that share of its documents, whole links where they are small. Rounds end when no document may move, or when
-the number of linked pairs within shards has not grown for `patience` rounds; the best round counts. Documents without links
+the number of linked pairs within shards has not grown by the share `gain` for `patience` rounds; the best round counts. Documents without links
 have no preference: they fill the shards to the quotas exactly, as do those beyond a quota.
 
 Null texts count as empty: 16 bytes, one group. Null keys are ordinary rows. Repeated rows are placed each; equally good shards
@@ -26,9 +26,10 @@ from weftgraph.operators.ranking import indexed
 
 @dataclass(frozen=True)
 class Shards:
-    """patience: rounds without a gain after which propagation ends."""
+    """gain, patience: propagation ends when linked pairs within shards have not grown by this share for so many rounds."""
 
     number: int = 40
+    gain: float = 0.01
     patience: int = 3
     seed: int = 17
 
@@ -85,13 +86,15 @@ def propagated(ids: DataFrame, links: DataFrame, quota: list[int], plan: Shards)
     number = plan.number
     state = stored(ids.select("id", F.pmod(F.xxhash64("id", F.lit(plan.seed)), F.lit(number)).cast("int").alias("shard")), "labels")
     rows = links.count()
-    best, most, waits, turn = state, -1.0, 0, 0
+    best, most, goal, waits, turn = state, -1.0, 0.0, 0, 0
     while True:
         held = {r["shard"]: r["count"] for r in state.groupBy("shard").count().collect()}
         room = [q - held.get(s, 0) for s, q in enumerate(quota)]
         score = stored(votes(state, links, number), "votes")
         inner = inner_pairs(score, number)
-        waits = 0 if inner > most else waits + 1
+        waits = 0 if inner >= goal else waits + 1
+        if inner >= goal:
+            goal = inner * (1 + plan.gain) + 1
         if inner > most:
             best, most = state, inner
         if waits >= plan.patience:
