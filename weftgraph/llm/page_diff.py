@@ -57,7 +57,7 @@ COMMENT = re.compile(r"(?:^|[-_ ])(?:comments?|comment-?(?:list|form|section|thr
 #: Bits kept at once for a way back through an alignment.
 TRACE = 1 << 24
 #: HTML in a range of pages on average, most ranges, and sampled URLs a range that place their borders. Results don't hang on them.
-RANGE_BYTES, MOST_RANGES, URLS = 64 << 20, 20_000, 20
+RANGE_BYTES, MOST_RANGES, URLS = 16 << 20, 50_000, 10
 
 
 class Open(NamedTuple):
