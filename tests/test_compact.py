@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from weftgraph.config import Graph
-from weftgraph.operators import walks
+from weftgraph.operators import graph, graph_iter, walks
 from weftgraph.storage import stored
 
 
@@ -50,3 +50,24 @@ def test_betweenness_over_the_size_of_a_broadcast(tables, pivots):
     _, edges, ids = tables
     kernel, rounds = ({r["id"]: r["betweenness"] for r in walks.betweenness(edges, ids, Graph(pivots=pivots), most=m).collect()} for m in (10**9, 0))
     assert rounds == pytest.approx(kernel, abs=1e-9) and len(rounds) == ids.count() and rounds["500"] == 0.0
+
+
+@pytest.fixture
+def no_rows(monkeypatch):
+    """Distances that only counts are made of aren't made as rows."""
+
+    def refuse(*_, **__):
+        raise AssertionError("rows of all pairs")
+
+    monkeypatch.setattr(graph_iter, "hops", refuse)
+
+
+def test_distance_profile_without_rows_of_pairs(spark, no_rows):
+    pairs = [p for p in random_edges(30, 90) if p[0] < 100]
+    near = near_of(pairs)
+    far = {x: searched(near, x)[0] for x in near}
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    got = graph_iter.distance_profile(edges, graph.nodes(edges), below=None).first()
+    each = [max(f.values()) for f in far.values()]
+    assert (got["nodes"], got["diameter"], got["radius"]) == (len(near), max(each), min(each))
+    assert got["mean_distance"] == round(sum(sum(f.values()) for f in far.values()) / (len(near) * (len(near) - 1)), 6)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.config import LOCAL_EDGES
+from weftgraph.operators.compact import MOST_BYTES, compact, reached
+from weftgraph.operators.compact import distances as compact_distances
 from weftgraph.storage import stored
 
 
@@ -131,9 +133,22 @@ def hops(edges: DataFrame, starts: DataFrame, most: int | None = None, symmetric
     return out
 
 
-def eccentricity(edges: DataFrame, starts: DataFrame, symmetric: bool = False) -> DataFrame:
-    """(id, eccentricity, reached, total): the greatest distance from a node, how many it reaches, and the sum of distances."""
-    return hops(edges, starts, symmetric=symmetric).groupBy(F.col("src").alias("id")).agg(F.max("dist").cast("long").alias("eccentricity"), F.count("*").alias("reached"), F.sum("dist").cast("long").alias("total"))
+def distances(edges: DataFrame, starts: DataFrame, depth: int | None = None, symmetric: bool = False, most: int = MOST_BYTES) -> DataFrame:
+    """What hops() returns, from bit sets where the graph may be broadcast (`most` bytes)."""
+    spark, kind = edges.sparkSession, dict(starts.dtypes)["id"]
+    shipped = compact(edges.select("src", "dst").distinct(), starts, most=most)
+    return compact_distances(spark, shipped, kind, depth) if shipped else hops(edges, starts, depth, symmetric)
+
+
+def eccentricity(edges: DataFrame, starts: DataFrame, symmetric: bool = False, depth: int | None = None, most: int = MOST_BYTES) -> DataFrame:
+    """(id, eccentricity, reached, total): the greatest distance from a node, how many it reaches, and the sum of distances; up to a
+    depth, if one is given. Counted on bit sets where the graph may be broadcast (`most` bytes), else over the rows of hops()."""
+    spark, kind = edges.sparkSession, dict(starts.dtypes)["id"]
+    shipped = compact(edges.select("src", "dst").distinct(), starts, most=most)
+    if shipped:
+        return reached(spark, shipped, kind, depth)
+    rows = hops(edges, starts, depth, symmetric).groupBy(F.col("src").alias("id"))
+    return rows.agg(F.max("dist").cast("long").alias("eccentricity"), F.count("*").alias("reached"), F.sum("dist").cast("long").alias("total"))
 
 
 def strong_components(edges: DataFrame, ids: DataFrame, local: int = 0) -> DataFrame:
