@@ -71,3 +71,23 @@ def test_distance_profile_without_rows_of_pairs(spark, no_rows):
     each = [max(f.values()) for f in far.values()]
     assert (got["nodes"], got["diameter"], got["radius"]) == (len(near), max(each), min(each))
     assert got["mean_distance"] == round(sum(sum(f.values()) for f in far.values()) / (len(near) * (len(near) - 1)), 6)
+
+
+def directed(pairs):
+    """Each edge one way, some both ways, and a node without edges."""
+    return [(a, b) for a, b in pairs] + [(b, a) for a, b in pairs if (a + b) % 3]
+
+
+def reach_of(arcs, ids, depth=None):
+    near = {x: [b for a, b in arcs if a == x] for x in {y for arc in arcs for y in arc} | set(ids)}
+    return {x: {y: n for y, n in searched(near, x)[0].items() if depth is None or n <= depth} for x in ids}
+
+
+@pytest.mark.parametrize("most", [10**9, 0])
+def test_eccentricity_of_directed_edges(spark, tables, most):
+    pairs, _, _ = tables
+    arcs, ids = directed(pairs), [*range(0, 40, 3), 100, 500]
+    edges, starts = spark.createDataFrame(arcs, "src long, dst long"), spark.createDataFrame([(x,) for x in ids], "id long")
+    for depth in (None, 2):
+        want = {(x, max(f.values()), len(f), sum(f.values())) for x, f in reach_of(arcs, ids, depth).items()}
+        assert {tuple(r) for r in graph_iter.eccentricity(edges, starts, depth=depth, most=most).select("id", "eccentricity", "reached", "total").collect()} == want
