@@ -91,3 +91,13 @@ def test_eccentricity_of_directed_edges(spark, tables, most):
     for depth in (None, 2):
         want = {(x, max(f.values()), len(f), sum(f.values())) for x, f in reach_of(arcs, ids, depth).items()}
         assert {tuple(r) for r in graph_iter.eccentricity(edges, starts, depth=depth, most=most).select("id", "eccentricity", "reached", "total").collect()} == want
+
+
+@pytest.mark.parametrize("most", [10**9, 0])
+def test_distances_of_all_pairs(spark, tables, most):
+    pairs, _, _ = tables
+    arcs, ids = directed(pairs), [f"{x}" for x in (*range(0, 40, 3), 101, 500)]
+    arcs = [(f"{a}", f"{b}") for a, b in arcs]
+    edges, starts = spark.createDataFrame(arcs + arcs[:9], "src string, dst string"), spark.createDataFrame([(x,) for x in ids], "id string")
+    got = [tuple(r) for r in graph_iter.distances(edges, starts, most=most).select("src", "node", "dist").collect()]
+    assert sorted(got) == sorted((x, y, n) for x, f in reach_of(arcs, ids).items() for y, n in f.items())
