@@ -101,3 +101,24 @@ def test_distances_of_all_pairs(spark, tables, most):
     edges, starts = spark.createDataFrame(arcs + arcs[:9], "src string, dst string"), spark.createDataFrame([(x,) for x in ids], "id string")
     got = [tuple(r) for r in graph_iter.distances(edges, starts, most=most).select("src", "node", "dist").collect()]
     assert sorted(got) == sorted((x, y, n) for x, f in reach_of(arcs, ids).items() for y, n in f.items())
+
+
+def test_exact_betweenness_counts_paths(tables):
+    pairs, edges, ids = tables
+    near = near_of(pairs)
+    found = {x: searched(near, x) for x in near}
+    want = dict.fromkeys([*near, 500], 0.0)
+    for s in near:
+        for x in near:
+            for t in near:
+                (ds, ps), (dx, px) = found[s], found[x]
+                if len({s, x, t}) == 3 and x in ds and t in ds and t in dx and ds[t] == ds[x] + dx[t]:
+                    want[x] += ps[x] * px[t] / ps[t]
+    n = len(want)
+    got = walks.betweenness(edges, ids, Graph(pivots=1_000_000))
+    assert {r["id"]: r["betweenness"] for r in got.collect()} == pytest.approx({str(x): b / (n - 1) / (n - 2) for x, b in want.items()}, abs=1e-9)
+
+
+def test_pivots_are_dealt(spark):
+    """Few rows of names made one task of all pivots."""
+    assert walks.pivot_tasks(spark, 1000).rdd.getNumPartitions() >= 24 and walks.pivot_tasks(spark, 3).count() == 3
