@@ -122,3 +122,10 @@ def test_exact_betweenness_counts_paths(tables):
 def test_pivots_are_dealt(spark):
     """Few rows of names made one task of all pivots."""
     assert walks.pivot_tasks(spark, 1000).rdd.getNumPartitions() >= 24 and walks.pivot_tasks(spark, 3).count() == 3
+
+
+def test_neighbourhoods_without_rows_of_pairs(tables, no_rows):
+    pairs, edges, ids = tables
+    near = near_of(pairs) | {500: set()}
+    want = {x: sum(n <= 4 for n in searched(near, x)[0].values()) for x in near}
+    assert {r["id"]: r["n"] for r in walks.neighbourhoods(edges, ids).collect()} == want
