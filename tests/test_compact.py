@@ -129,3 +129,9 @@ def test_neighbourhoods_without_rows_of_pairs(tables, no_rows):
     near = near_of(pairs) | {500: set()}
     want = {x: sum(n <= 4 for n in searched(near, x)[0].values()) for x in near}
     assert {r["id"]: r["n"] for r in walks.neighbourhoods(edges, ids).collect()} == want
+
+
+def test_gate_without_rows_of_pairs(tables, no_rows):
+    pairs, edges, ids = tables
+    got = {r["id"]: (r["n"], r["action"], r["reason"]) for r in walks.gate(walks.neighbourhoods(edges, ids)).collect()}
+    assert got[500] == (1, "fail", "Insufficient neighbors: 1 < 6") and got[101][:2] == (3, "fail") and {a for _, a, _ in got.values()} == {"fail", "walk"}
