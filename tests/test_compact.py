@@ -5,7 +5,7 @@ from collections import deque
 import numpy as np
 import pytest
 
-from weftgraph.config import Graph
+from weftgraph.config import Graph, Walk
 from weftgraph.operators import graph, graph_iter, walks
 from weftgraph.storage import stored
 
@@ -135,3 +135,12 @@ def test_gate_without_rows_of_pairs(tables, no_rows):
     pairs, edges, ids = tables
     got = {r["id"]: (r["n"], r["action"], r["reason"]) for r in walks.gate(walks.neighbourhoods(edges, ids)).collect()}
     assert got[500] == (1, "fail", "Insufficient neighbors: 1 < 6") and got[101][:2] == (3, "fail") and {a for _, a, _ in got.values()} == {"fail", "walk"}
+
+
+def test_walks_over_the_size_of_a_broadcast(tables):
+    pairs, edges, ids = tables
+    kernel, rounds = ({(r["start"], r["number"]): tuple(r) for r in walks.random_walks(edges, ids, Walk(paths=2), most=m).collect()} for m in (10**9, 0))
+    assert kernel == rounds and len(kernel) == 2 * ids.count()
+    assert rounds["500", 0][4] == "Insufficient neighbors: 1 < 6" and len(rounds["1", 1][2]) == 15
+    one = walks.walk_counters(walks.random_walks(edges, ids, most=0)).first()
+    assert one["starts"] == ids.count() and one["successes"] == ids.count() - 4
