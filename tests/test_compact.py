@@ -5,8 +5,8 @@ from collections import deque
 import numpy as np
 import pytest
 
-from weftgraph.config import Graph, Walk
-from weftgraph.operators import graph, graph_iter, walks
+from weftgraph.config import Combine, Graph, Walk
+from weftgraph.operators import combos, graph, graph_iter, walks
 from weftgraph.storage import stored
 
 
@@ -144,3 +144,11 @@ def test_walks_over_the_size_of_a_broadcast(tables):
     assert rounds["500", 0][4] == "Insufficient neighbors: 1 < 6" and len(rounds["1", 1][2]) == 15
     one = walks.walk_counters(walks.random_walks(edges, ids, most=0)).first()
     assert one["starts"] == ids.count() and one["successes"] == ids.count() - 4
+
+
+def test_samples_are_dealt_and_the_sampler_is_lean(spark):
+    one = spark.createDataFrame([([f"k{i}" for i in range(12)],)], "nodes array<string>").coalesce(1)
+    dealt = combos.tries(one)
+    assert dealt.count() == 10 and dealt.rdd.getNumPartitions() == 24
+    s = combos.Sampler({"a": {"x": 0.6, "b": 0.3}, "x": {"b": 0.6}}, ["a"], Combine())
+    assert s.bridge(["a", "b"]) == ["a", "x", "b"] and set(vars(s)) == {"succ", "pool", "config"}
