@@ -152,3 +152,17 @@ def test_samples_are_dealt_and_the_sampler_is_lean(spark):
     assert dealt.count() == 10 and dealt.rdd.getNumPartitions() == 24
     s = combos.Sampler({"a": {"x": 0.6, "b": 0.3}, "x": {"b": 0.6}}, ["a"], Combine())
     assert s.bridge(["a", "b"]) == ["a", "x", "b"] and set(vars(s)) == {"succ", "pool", "config"}
+
+
+def test_a_walk_looks_at_few_nodes():
+    """All nodes within four hops were searched for every start, though 15 suffice."""
+    asked = []
+
+    class Ring(dict):
+        def __missing__(self, x):
+            asked.append(x)
+            near = [f"{(int(x) + d) % 5000}" for d in (*range(1, 9), *range(-8, 0))]
+            return near, [1.0] * 16, [16] * 16
+
+    nodes, weights, reason = walks.Walker(Ring(), Walk()).walk("7", 0)
+    assert len(set(nodes)) == 15 and len(weights) == 14 and reason is None and len(set(asked)) <= 15
