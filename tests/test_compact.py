@@ -166,3 +166,12 @@ def test_a_walk_looks_at_few_nodes():
 
     nodes, weights, reason = walks.Walker(Ring(), Walk()).walk("7", 0)
     assert len(set(nodes)) == 15 and len(weights) == 14 and reason is None and len(set(asked)) <= 15
+
+
+def test_failures_tell_all_that_is_near():
+    """A search that stops early still counts all nodes of a small neighbourhood."""
+    near = {f"{i}": ([f"{j}" for j in (i - 1, i + 1) if 0 <= j < 9], [1.0] * 2, [2] * 2) for i in range(9)}
+    near["0"], near["8"] = (["1"], [1.0], [2]), (["7"], [1.0], [2])
+    found = [walks.Walker(near, Walk()).walk(f"{i}", 0) for i in (0, 1, 4)]
+    assert [x[2] for x in found] == ["Insufficient neighbors: 5 < 6", None, None] and found[2][0] == [*"435261708"]
+    assert walks.Walker(near, Walk(length=3)).reach("4") == ["4", "3", "5"]
