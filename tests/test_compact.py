@@ -3,10 +3,11 @@
 from collections import deque
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftgraph.config import Combine, Graph, Walk
-from weftgraph.operators import combos, graph, graph_iter, walks
+from weftgraph.operators import combos, compact, graph, graph_iter, walks
 from weftgraph.storage import stored
 
 
@@ -175,3 +176,52 @@ def test_failures_tell_all_that_is_near():
     found = [walks.Walker(near, Walk()).walk(f"{i}", 0) for i in (0, 1, 4)]
     assert [x[2] for x in found] == ["Insufficient neighbors: 5 < 6", None, None] and found[2][0] == [*"435261708"]
     assert walks.Walker(near, Walk(length=3)).reach("4") == ["4", "3", "5"]
+
+
+def jobs(spark, run):
+    """Spark jobs that a call starts."""
+    spark.sparkContext.setJobGroup(run.__name__, "")
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(run.__name__))
+
+
+def test_a_small_graph_comes_in_few_jobs(spark, tables):
+    """Sorting, numbering and joining its names took some fifteen jobs."""
+    _, edges, ids = tables
+
+    def small():
+        compact.made(graph.both_ways(edges, "weight"), ids, weight=True)
+
+    assert jobs(spark, small) <= 8
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_graphs_made_here_and_by_tasks_are_equal(spark, kind):
+    rows = [(f"{a}", f"{b}", float(w)) for a, b, w in np.random.default_rng(5).integers(0, 30, (200, 3)).tolist()] + [("3", None, 1.0), ("é", "zz", 2.0)] * (kind == "string")
+    ways = stored(spark.createDataFrame(rows + rows[:20], "src string, dst string, weight double").withColumns({c: graph.F.col(c).cast(kind) for c in ("src", "dst")}), "ways")
+    ids = spark.createDataFrame([("5",), ("77",), ("5",)], "id string").select(graph.F.col("id").cast(kind))
+    for weight, once in ((True, False), (False, False), (False, True)):
+        here, there = (compact.made(ways, ids, weight=weight, once=once, direct=d) for d in (10**9, 0))
+        assert here.names.to_pylist() == there.names.to_pylist()
+        for x, y in zip(here[1:], there[1:], strict=True):
+            assert (x is None and y is None) or (x.dtype == y.dtype and x.tolist() == y.tolist())
+
+
+def test_an_empty_graph(spark):
+    none = spark.createDataFrame([], "u long, v long, weight double")
+    assert walks.random_walks(none, none.selectExpr("u as id")).count() == 0 and walks.neighbourhoods(none, none.selectExpr("u as id")).count() == 0
+
+
+@pytest.mark.parametrize("config", [Walk(paths=2), Walk(degree_penalty=False, disturb=False, length=30), Walk(hops=1, length=6)])
+def test_walks_over_arrays_are_those_over_lists(config):
+    near = near_of(random_edges(40, 70))
+    rows = [(f"{a:03}", f"{b:03}", 1.0 + (a * b) % 7) for a in near for b in near[a]]
+    g = compact.gathered(pa.table(dict(zip(("src", "dst", "weight"), map(list, zip(*rows)), strict=True))), pa.table({"id": ["999"]}), False)
+    lists = {x: ([], [], []) for x in g.names.to_pylist()}
+    for a, b, w in sorted(rows):
+        for x, y in zip(lists[a], (b, w, len(near[int(b)])), strict=True):
+            x.append(y)
+    arrays, by_name = walks.ArrayWalker(g, config), walks.Walker(lists, config)
+    found = [by_name.walk(x, 1) for x in lists]
+    assert [arrays.walk(i, 1) for i in range(len(lists))] == found and {x[2] is None for x in found} == {True, False}
