@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from weftgraph.config import Combine, Graph, Walk
-from weftgraph.operators import combos, compact, graph, graph_iter, walks
+from weftgraph.operators import cluster, combos, compact, graph, graph_iter, walks
 from weftgraph.storage import stored
 
 
@@ -213,6 +213,29 @@ def test_an_empty_graph(spark):
     assert walks.random_walks(none, none.selectExpr("u as id")).count() == 0 and walks.neighbourhoods(none, none.selectExpr("u as id")).count() == 0
 
 
+@pytest.mark.parametrize("few", [1, 4, 1000])
+def test_bits_of_neighbours_are_joined_at_once(monkeypatch, few):
+    """One call of NumPy for each node made most of the time of distances."""
+    monkeypatch.setattr(compact, "FEW", few)
+    rng = np.random.default_rng(3)
+    degree = np.sort(rng.integers(1, 9, 50))[::-1]
+    near, reach = rng.integers(0, 50, degree.sum()), rng.integers(0, 2**63, (50, 3)).astype(np.uint64)
+    first = np.cumsum(degree) - degree
+    want = [np.bitwise_or.reduce(reach[near[f : f + d]], axis=0).tolist() for f, d in zip(first, degree, strict=True)]
+    assert compact.joined(reach, near, first, degree).tolist() == want
+
+
+def test_lengths_of_vectors_are_taken_once(spark):
+    """Inlined by Spark, a vector's length was computed anew for each of its numbers."""
+    df = spark.createDataFrame([(i, [float(i), 1.0, 0.5]) for i in range(9)], "id long, vec array<double>")
+    dealt, _ = cluster.dealt_blocks(df, "id", "vec", 100)
+    assert "aggregate(" not in dealt._jdf.queryExecution().optimizedPlan().toString()
+    v = cluster.unit(pa.array([[3.0, 4.0], [0.0, 0.0], [None, 1.0]], pa.list_(pa.float32())))
+    assert v[:2].tolist() == [[0.6, 0.8], [0.0, 0.0]] and np.isnan(v[2, 0])
+    with pytest.raises(ValueError):
+        cluster.unit(pa.array([[1.0], [1.0, 2.0, 3.0]]))
+
+
 @pytest.mark.parametrize("config", [Walk(paths=2), Walk(degree_penalty=False, disturb=False, length=30), Walk(hops=1, length=6)])
 def test_walks_over_arrays_are_those_over_lists(config):
     near = near_of(random_edges(40, 70))
