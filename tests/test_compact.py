@@ -225,6 +225,15 @@ def test_bits_of_neighbours_are_joined_at_once(monkeypatch, few):
     assert compact.joined(reach, near, first, degree).tolist() == want
 
 
+def test_equal_arcs_are_not_shuffled_away_first(spark, tables):
+    _, edges, ids = tables
+
+    def eccentric():
+        graph_iter.eccentricity(graph.both_ways(edges.unionByName(edges)), ids, symmetric=True)
+
+    assert jobs(spark, eccentric) <= 8
+
+
 def test_lengths_of_vectors_are_taken_once(spark):
     """Inlined by Spark, a vector's length was computed anew for each of its numbers."""
     df = spark.createDataFrame([(i, [float(i), 1.0, 0.5]) for i in range(9)], "id long, vec array<double>")

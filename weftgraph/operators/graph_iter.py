@@ -136,7 +136,7 @@ def hops(edges: DataFrame, starts: DataFrame, most: int | None = None, symmetric
 def distances(edges: DataFrame, starts: DataFrame, depth: int | None = None, symmetric: bool = False, most: int = MOST_BYTES) -> DataFrame:
     """What hops() returns, from bit sets where the graph may be broadcast (`most` bytes)."""
     spark, kind = edges.sparkSession, dict(starts.dtypes)["id"]
-    shipped = compact(edges.select("src", "dst").distinct(), starts, most=most)
+    shipped = compact(edges, starts, most=most, once=True)
     return compact_distances(spark, shipped, kind, depth) if shipped else hops(edges, starts, depth, symmetric)
 
 
@@ -144,7 +144,7 @@ def eccentricity(edges: DataFrame, starts: DataFrame, symmetric: bool = False, d
     """(id, eccentricity, reached, total): the greatest distance from a node, how many it reaches, and the sum of distances; up to a
     depth, if one is given. Counted on bit sets where the graph may be broadcast (`most` bytes), else over the rows of hops()."""
     spark, kind = edges.sparkSession, dict(starts.dtypes)["id"]
-    shipped = compact(edges.select("src", "dst").distinct(), starts, most=most)
+    shipped = compact(edges, starts, most=most, once=True)
     if shipped:
         return reached(spark, shipped, kind, depth)
     rows = hops(edges, starts, depth, symmetric).groupBy(F.col("src").alias("id"))
