@@ -257,3 +257,12 @@ def test_walks_over_arrays_are_those_over_lists(config):
     arrays, by_name = walks.ArrayWalker(g, config), walks.Walker(lists, config)
     found = [by_name.walk(x, 1) for x in lists]
     assert [arrays.walk(i, 1) for i in range(len(lists))] == found and {x[2] is None for x in found} == {True, False}
+
+
+def test_gate_in_few_jobs(spark, tables):
+    _, edges, ids = tables
+
+    def gated():
+        walks.gate(walks.neighbourhoods(edges, ids)).count()
+
+    assert jobs(spark, gated) <= 12
