@@ -259,6 +259,15 @@ def test_walks_over_arrays_are_those_over_lists(config):
     assert [arrays.walk(i, 1) for i in range(len(lists))] == found and {x[2] is None for x in found} == {True, False}
 
 
+def test_failures_of_a_graph_come_in_few_jobs(spark, tables):
+    _, edges, ids = tables
+
+    def failed():
+        assert walks.failures(walks.random_walks(edges, ids)).agg({"n": "sum"}).first()[0] == 4
+
+    assert jobs(spark, failed) <= 14
+
+
 def test_gate_in_few_jobs(spark, tables):
     _, edges, ids = tables
 
