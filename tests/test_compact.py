@@ -8,6 +8,7 @@ import pytest
 
 from weftgraph.config import Combine, Graph, Walk
 from weftgraph.operators import cluster, combos, compact, graph, graph_iter, walks
+from weftgraph.plans import contract, files_contract
 from weftgraph.storage import stored
 
 
@@ -268,6 +269,14 @@ def test_failures_of_a_graph_come_in_few_jobs(spark, tables):
     assert jobs(spark, failed) <= 14
 
 
+def test_properties_take_one_product(spark, monkeypatch):
+    """Edges were made of the vectors twice: for the walks, and to look at them."""
+    taken, near = [], contract.near
+    monkeypatch.setattr(contract, "near", lambda *a: taken.append(a) or near(*a))
+    rows = files_contract.walk_properties(spark, "/root/testdata/sf0.001").collect()
+    assert len(taken) == 1 and all(r["length"] == r["nodes"] == r["linked"] + 1 for r in rows)
+
+
 def test_gate_in_few_jobs(spark, tables):
     _, edges, ids = tables
 
