@@ -337,3 +337,26 @@ def test_gate_over_the_size_of_a_broadcast(tables):
     for asked in (ids, None):
         kernel, rounds = (sorted(map(tuple, walks.gate(walks.neighbourhoods(edges, asked, most=m)).collect())) for m in (10**9, 0))
         assert kernel == rounds and len(kernel) == ids.count() - (asked is None)
+
+
+@pytest.mark.parametrize("most", [10**9, 0])
+def test_failures_are_told_without_walks(spark, tables, monkeypatch, most):
+    """All walks were made, and those that succeeded thrown away."""
+    _, edges, ids = tables
+    want = {(r["start"], r["number"], r["reason"]) for r in walks.random_walks(edges, ids, Walk(paths=2)).where("reason is not null").collect()}
+    for asked in (ids, None):
+        got = [tuple(r) for r in walks.failed_walks(edges, asked, Walk(paths=2), most=most).collect()]
+        assert len(got) == len(set(got)) and set(got) == {w for w in want if asked or w[0] != "500"}
+    assert len(want) == 8
+    monkeypatch.setattr(walks, "random_walks", None)
+    assert files_contract.walk_failures(spark, "/root/testdata/sf0.001").columns == ["reason", "n", "starts"]
+
+
+def test_tries_look_no_further_than_failures_need():
+    near = near_of(random_edges(40, 70))
+    arcs = [(f"{a}", f"{b}") for a in near for b in near[a]]
+    g = compact.gathered(pa.table(dict(zip(("src", "dst"), map(list, zip(*arcs)), strict=True))), None, False)
+    for config in (Walk(), Walk(hops=1), Walk(hops=2, least_nodes=12), Walk(length=4)):
+        tries = walks.ArrayWalker(g, walks.replace(config, length=min(config.length, config.least_nodes)))
+        weights = g._replace(weight=np.ones(len(g.near)))
+        assert [tries.tried(i, 0)[2] for i in range(len(near))] == [walks.ArrayWalker(weights, config).walk(i, 0)[2] for i in range(len(near))]
