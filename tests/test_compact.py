@@ -360,3 +360,18 @@ def test_tries_look_no_further_than_failures_need():
         tries = walks.ArrayWalker(g, walks.replace(config, length=min(config.length, config.least_nodes)))
         weights = g._replace(weight=np.ones(len(g.near)))
         assert [tries.tried(i, 0)[2] for i in range(len(near))] == [walks.ArrayWalker(weights, config).walk(i, 0)[2] for i in range(len(near))]
+
+
+def test_rows_of_a_block_meet_later_ones_only(monkeypatch):
+    """Of a block with itself the whole square was multiplied, and half of it crossed out."""
+    monkeypatch.setattr(cluster, "STRIP", 4)
+    vec = np.random.default_rng(2).normal(size=(14, 3))
+    t = pa.table({"id": range(14), "vec": vec.tolist(), "_b": [1] * 14, "_t": [3] * 14})
+    found, cells = [], 0
+    for own, others, sims in cluster.strips(t, 2):
+        x, y = np.nonzero(sims > -2)
+        found += zip(own[x].tolist(), others[y].tolist(), sims[x, y].tolist(), strict=True)
+        cells += sims.size
+    unit = vec / np.linalg.norm(vec, axis=1)[:, None]
+    assert cells == 4 * (14 + 10 + 6) + 2 * 2
+    assert [f[:2] for f in found] == [(a, b) for a in range(14) for b in range(a + 1, 14)] and [f[2] for f in found] == pytest.approx([unit[a] @ unit[b] for a, b, _ in found])
