@@ -156,6 +156,23 @@ def test_samples_are_dealt_and_the_sampler_is_lean(spark):
     assert s.bridge(["a", "b"]) == ["a", "x", "b"] and set(vars(s)) == {"succ", "pool", "config"}
 
 
+@pytest.mark.parametrize(("held", "config"), [(10**9, Combine(samples=6)), (10**9, Combine(samples=6, any_order=False)), (0, Combine(samples=6, size=5, starts=2, steps=1))])
+def test_combinations_of_graphs_of_any_size(spark, held, config):
+    """Over 5,000,000 edges and names were refused; arrays, and rounds of joins over their size, give what the sampler over dicts does."""
+    rng = np.random.default_rng(3)
+    names = [f"k{i}" for i in range(40)]
+    arcs = {(names[a], names[b]): float(rng.choice([0.3, 0.6, 0.85])) for a, b in rng.integers(0, 36, (150, 2)).tolist() if a != b}
+    paths = [[names[i] for i in rng.permutation(40)[:15]] for _ in range(6)] + [["x", *names[3:14], "w"], ["x", "b", "a"], ["p", *["q", "r"] * 6], [f"z{i}" for i in range(11)], ["y", *"zz" * 6]]
+    succ = {}
+    for (a, b), p in sorted(arcs.items(), key=lambda e: (e[0][0], -e[1], e[0][1])):
+        succ.setdefault(a, {})[b] = p
+    sampler = combos.Sampler(succ, sorted(names), config)
+    want = {tuple(c) for p in paths for k in range(6) if (c := sampler.sample(p, k))}
+    edges = spark.createDataFrame([(a, b, p) for (a, b), p in arcs.items()], "src string, dst string, prob double")
+    found, pool = spark.createDataFrame([(p,) for p in paths], "nodes array<string>"), spark.createDataFrame([(x,) for x in names], "name string")
+    assert len(want) > 12 and [*sorted(tuple(r["combo"]) for r in combos.generated(found, edges, pool, config, held=held).collect())] == sorted(want)
+
+
 def test_a_walk_looks_at_few_nodes():
     """All nodes within four hops were searched for every start, though 15 suffice."""
     asked = []
