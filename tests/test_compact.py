@@ -121,6 +121,29 @@ def test_exact_betweenness_counts_paths(tables):
     assert {r["id"]: r["betweenness"] for r in got.collect()} == pytest.approx({str(x): b / (n - 1) / (n - 2) for x, b in want.items()}, abs=1e-9)
 
 
+@pytest.mark.parametrize("dearer", [1, 10**9])
+@pytest.mark.parametrize("later", [True, False])
+def test_paths_of_a_block_of_starts(monkeypatch, dearer, later):
+    """Every start was searched by itself, edge by edge; by edges or by products, in either precision, a block gives the same."""
+    monkeypatch.setattr(compact, "DEARER", dearer)
+    pairs = random_edges(60, 110, 5)
+    near = near_of(pairs)
+    names = sorted(near)
+    a, b = np.array(sorted((names.index(x), names.index(y)) for x in near for y in near[x])).T
+    g = compact.Compact(pa.array(names), np.ones(len(names), bool), np.searchsorted(a, np.arange(len(names) + 1)), b.astype(np.int32), None)
+    paths, found = compact.Blocks(g), {x: searched(near, x) for x in near}
+    paths.products = compact.Products(g, 7, 9)
+    starts, want = np.arange(20, 29), np.zeros(len(names))
+    for s in (names[i] for i in starts):
+        for t in found[s][0]:
+            for x in found[s][0]:
+                if len({s, x, t}) == 3 and found[s][0][t] == found[s][0][x] + found[x][0][t] and (t > s or not later):
+                    want[names.index(x)] += found[s][1][x] * found[x][1][t] / found[s][1][t]
+    assert paths.searched(starts, later, np.float64) == pytest.approx(want, abs=1e-12)
+    assert paths.searched(starts, later, np.float32) == pytest.approx(want, rel=1e-6)
+    assert paths.shares(starts, later) == pytest.approx(want, abs=1e-12) and paths.kind is np.float64
+
+
 def test_pivots_are_dealt(spark):
     """Few rows of names made one task of all pivots."""
     assert walks.pivot_tasks(spark, 1000).rdd.getNumPartitions() >= 24 and walks.pivot_tasks(spark, 3).count() == 3
